@@ -4,7 +4,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm.encoding import garbled
-from quoin.session import table
+from quoin.llm.mixing import Mix, mix_sources
+from quoin.llm.packing import pack_containers
+from quoin.llm.tokens import token_counts
+from quoin.session import cut, table
+
+
+#: Segments of a container: one for this many tokens of capacity, so many short texts share a container before the limit binds.
+TOKENS_A_SEGMENT = 16
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts in containers of every kind. The first of several lines of a text is its prompt; the rest bears loss."""
+    counts = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    items = cut(counts.select("doc_id", "tokens", (F.col("tokens") - F.col("prompt_tokens")).alias("loss")))
+    kinds = table(spark, sf_dir, "pack_capacity").collect()  # a fixed table of a few rows
+    limits = {r["container_kind"]: (r["capacity_tokens"], max(1, r["capacity_tokens"] // TOKENS_A_SEGMENT), r["capacity_tokens"]) for r in kinds}
+    return pack_containers(items, "doc_id", "tokens", "loss", limits)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each kind and how full they are."""
+    capacity = table(spark, sf_dir, "pack_capacity")
+    kinds = p8_containers(spark, sf_dir).groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    return kinds.join(capacity, "container_kind").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    mixes: dict[str, list] = {}
+    for r in table(spark, sf_dir, "mix_target").collect():  # a fixed table of a few rows
+        mixes.setdefault(r["mix_name"], []).append(r)
+    own = [Mix(name, {r["source"]: r["target_share"] for r in rows}, rows[0]["max_repeats"], rows[0]["size_ratio"]) for name, rows in sorted(mixes.items())]
+    return mix_sources(table(spark, sf_dir, "documents"), "doc_id", "text", "source", own)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix, with their copies."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in each mix."""
+    return _mix(spark, sf_dir)[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +57,5 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "restored", F.concat_ws(",", "steps").alias("steps"), "lossy")
 
 
-QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 SQL: dict[str, str] = {}
