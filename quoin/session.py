@@ -46,3 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quoin-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least ``width`` tasks: a scan of few, small files would leave a costly row-wise stage to few of them. Where
+    the scan has as many splits already, nothing moves."""
+    wanted = width(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
