@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from quoin.session import spread
+
 #: Codecs that bytes are wrongly read with, and single-byte codecs that they may have been meant for.
 CODECS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "koi8-r", "cp866", "cp850", "cp1250")
 #: Cost from which a word is searched; what a repair must save beyond its steps; charges for a step; states expanded at most.
@@ -293,6 +295,6 @@ def garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     and are filtered before Python sees them, but for HTML escapes, which are resolved only on the way to a decoding. Whole texts are searched.
     Repeated rows come out as often as they go in; other columns are ignored.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]|&#?\w{2,8};"))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).where(F.col("text").rlike(r"[^\x00-\x7f]|&#?\w{2,8};"))
     schema = StructType([StructField("key", df.schema[key].dataType), StructField("restored", StringType()), StructField("steps", ArrayType(StringType())), StructField("lossy", BooleanType())])
     return rows.mapInArrow(_task, schema).withColumnRenamed("key", key)

@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 
 from quoin.llm.tokens import default_vocabulary, encoding
 from quoin.operators.runs import co_sorted, ints, key_runs
-from quoin.session import cut
+from quoin.session import cut, spread
 
 #: Buckets of tokens and token pairs; passes of either kind at most; relative change of totals that ends them; weight of the posteriors' targets.
 BUCKETS, PASSES, SETTLED, SOFT = 1 << 15, 12, 1e-4, 0.1
@@ -176,7 +176,7 @@ def mix_sources(documents: DataFrame, key: str, text: str, source: str, mixes: S
     are ignored. At most ``SOURCES`` distinct sources (raises).
     """
     path = vocabulary or default_vocabulary()
-    docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    docs = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source")))
     present = [r[0] for r in docs.where(F.col("source").isNotNull()).select("source").distinct().orderBy("source").limit(SOURCES + 1).collect()]
     if len(present) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from quoin.session import spread
+
 
 def default_vocabulary() -> str:
     """Place of the byte-level vocabulary of the installed public tokenizers."""
@@ -50,6 +52,6 @@ def _count(path: str):
 def token_counts(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """``key``, tokens and prompt_tokens (those of the first of several lines) of each row; null and empty texts have none. ``vocabulary``:
     path of a rank file, readable on every executor; special tokens in a text are ordinary text."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
     schema = StructType([StructField("key", df.schema[key].dataType), StructField("tokens", LongType()), StructField("prompt_tokens", LongType())])
     return rows.mapInArrow(_count(vocabulary or default_vocabulary()), schema).withColumnRenamed("key", key)
