@@ -113,7 +113,7 @@ def plausibility_cost(text: str) -> float:
             if len(letters) == 1 and c not in ISOLATED:
                 total += 4.0
             total += 0.5 * (before == "l") + 3.0 * (before == "l" and i > 1 and kinds[i - 2] == "l") + 4.0 * (before == "c") + 3.0 * (before == "s" and text[i - 1] not in TYPOGRAPHIC)
-            total += 3.5 * ("d" in around and len(letters) == 1)
+            total += 3.5 * (after == "d" or ("d" in around and len(letters) == 1))
             if text[i - 1 : i] == "n" and text[i + 1 : i + 2] == "t" and i + 2 >= n - 1 and i > 3:
                 total += 3.5  # the place of an apostrophe
             if i and i == letters[-1] and kinds[letters[0]] == "l" and low in "îöôó" and len(letters) > 3:
@@ -199,7 +199,9 @@ STEPS: list[tuple[str, str]] = [(a, "utf-8") for a in CODECS] + [("escape", "htm
 def restore_word(word: str) -> tuple[str, tuple[tuple[str, str], ...]]:
     """The cheapest text reachable from ``word`` and the steps to it; the word itself and no steps if nothing is cheaper by the margin."""
     own = plausibility_cost(word)
-    if own < SUSPECT and "&" not in word:
+    if "&" in word:  # an escape hides what it stands for
+        own = max(own, plausibility_cost(html.unescape(word)))
+    if own < SUSPECT:
         return word, ()
     best, path, least = word, (), own - MARGIN
     heap = [(own, 0, word, ())]
@@ -269,11 +271,15 @@ def _follow(word: str, steps: tuple[tuple[str, str], ...]) -> str | None:
 
 def _long(word: str) -> tuple[str, tuple]:
     """A word beyond all usual length is searched in pieces, so that cost stays in proportion; none of it is skipped."""
-    parts, steps = [], ()
-    for i in range(0, len(word), LONG):
-        new, own = restore_word(word[i : i + LONG])
+    parts, steps, i = [], (), 0
+    while i < len(word):
+        end = i + LONG
+        while end < min(len(word), i + 2 * LONG) and ord(word[end]) > 127:  # no cut within a garbled sequence
+            end += 1
+        new, own = restore_word(word[i:end])
         parts.append(new)
         steps = steps or own
+        i = end
     return "".join(parts), steps
 
 
