@@ -21,18 +21,24 @@ def long_short(scores: DataFrame, score: str, share: float) -> DataFrame:
     return scores.withColumn("side", F.when(ok & (up <= n), 1).when(ok & (down <= n), -1).otherwise(0))
 
 
-def project(raw: np.ndarray, equalities: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 300, tolerance: float = 1e-10) -> np.ndarray:
-    """Nearest point to ``raw`` with equalities @ w = values and low <= w <= high, by Dykstra's alternating projections."""
-    pseudo = np.linalg.pinv(equalities)
-    w, kept = raw.copy(), np.zeros_like(raw)
+def project(raw: np.ndarray, equalities: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 60, tolerance: float = 1e-10) -> np.ndarray:
+    """Nearest point to ``raw`` with equalities @ w = values and low <= w <= high, by Newton steps on the dual: at its multipliers the
+    solution is ``raw`` shifted along the equalities and clipped. Where nothing is feasible, the point that comes nearest within ``rounds``."""
+    dual = np.zeros(len(values))
+    at = lambda d: np.clip(raw + equalities.T @ d, low, high)
+    w = at(dual)
+    gap = values - equalities @ w
     for _ in range(rounds):
-        flat = w - pseudo @ (equalities @ w - values)
-        new = np.clip(flat + kept, low, high)
-        kept = flat + kept - new
-        change = np.abs(new - w).max() if len(w) else 0.0
-        w = new
-        if change < tolerance and np.abs(equalities @ w - values).max() < 1e-9:
+        if np.abs(gap).max() < tolerance:
             break
+        free = equalities[:, (w > low) & (w < high)]
+        step = np.linalg.lstsq(free @ free.T + 1e-12 * np.eye(len(values)), gap, rcond=None)[0]
+        for shrink in (1.0, 0.5, 0.25, 0.1, 0.03):
+            new = at(dual + shrink * step)
+            left = values - equalities @ new
+            if np.linalg.norm(left) < np.linalg.norm(gap):
+                break
+        dual, w, gap = dual + shrink * step, new, left
     return w
 
 
