@@ -30,6 +30,8 @@ from quoin.session import spread
 CODECS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "koi8-r", "cp866", "cp850", "cp1250")
 #: Cost from which a word is searched; what a repair must save beyond its steps; charges for a step; states expanded at most.
 SUSPECT, MARGIN, STEP, UTF8_STEP, STATES = 2.5, 2.0, 1.0, 0.5, 60
+#: What it costs a word to hold valid UTF-8 as read in one of these codecs, which right words hardly do.
+UTF8_LIKE, LIKENESS = ("cp1252", "latin-1", "cp1250"), 2.5
 #: Characters from which a word is searched in pieces of that length.
 LONG = 1_000
 
@@ -127,7 +129,7 @@ def plausibility_cost(text: str) -> float:
         elif c in "¿¡":
             total += 0.4 + 4.0 * (before in "alcd" or after not in "alp")
         elif c in TYPOGRAPHIC:
-            total += 0.4
+            total += 0.1 if c == "’" and before in "al" and after in "al" else 0.4 + 2.0 * (n == 1 and c in "„‚“”‘’")
             if c in "€£¥":
                 total += 3.0 * (before in "al" and text[i - 1] not in "M" or after in "alc")
             elif c in "„‚…•–—“”‘":
@@ -201,6 +203,8 @@ def restore_word(word: str) -> tuple[str, tuple[tuple[str, str], ...]]:
     own = plausibility_cost(word)
     if "&" in word:  # an escape hides what it stands for
         own = max(own, plausibility_cost(html.unescape(word)))
+    if any(_utf8(word, codec) for codec in UTF8_LIKE):
+        own += LIKENESS
     if own < SUSPECT:
         return word, ()
     best, path, least = word, (), own - MARGIN
@@ -245,9 +249,12 @@ def restore(text: str) -> tuple[str, list[str], bool]:
                     fixed[i] = (new, fixed[j][1])
                     break
         votes = Counter(steps for _, steps in fixed if steps)
-        usual = votes.most_common(1)[0][0]
-        for i, m in enumerate(words):  # of nearly equal readings of a word, the text's usual one
-            if fixed[i][1] and votes[fixed[i][1]] < votes[usual] and (new := _follow(m.group(), usual)) and plausibility_cost(new) < plausibility_cost(fixed[i][0]) + 0.4:
+        usual, most = votes.most_common(1)[0]
+        for i, m in enumerate(words):  # the text's usual reading goes before a somewhat cheaper one that is rare in it
+            now, steps = fixed[i]
+            if steps == usual or (steps and most < 2 * votes[steps]):
+                continue
+            if (new := _follow(m.group(), usual)) and plausibility_cost(new) < min(plausibility_cost(m.group()) - 0.5, plausibility_cost(now) + (1.5 if steps else 0.0)):
                 fixed[i] = (new, usual)
     out: list[str] = []
     used: dict[str, None] = {}
