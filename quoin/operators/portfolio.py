@@ -36,8 +36,10 @@ def project(raw: np.ndarray, equalities: np.ndarray, values: np.ndarray, low: np
         for shrink in (1.0, 0.5, 0.25, 0.1, 0.03):
             new = at(dual + shrink * step)
             left = values - equalities @ new
-            if np.linalg.norm(left) < np.linalg.norm(gap):
+            if np.linalg.norm(left) < np.linalg.norm(gap) * (1 - 1e-3 * shrink):
                 break
+        else:  # no step brings it nearer: nothing is feasible
+            break
         dual, w, gap = dual + shrink * step, new, left
     return w
 
