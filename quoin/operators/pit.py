@@ -49,3 +49,12 @@ def from_the_future(panel: DataFrame, as_of: str, metrics: Sequence[str]) -> Dat
     one = panel.agg(*(c.alias(m) for m, c in late.items()))
     cells = F.explode(F.array(*(F.struct(F.lit(m).alias("metric_name"), F.col(m).alias("violations")) for m in metrics)))
     return one.select(cells.alias("c")).select("c.*")
+
+
+def asof_lookup(facts: DataFrame, key: str, entity, metric: str, name: str, at, *, value: str, known: str, until: str) -> dict | None:
+    """The fact of one entity and metric known at a time: a point query whose filters reach the scan. None if there is none or it has ended."""
+    rows = facts.where((F.col(key) == F.lit(entity)) & (F.col(metric) == F.lit(name)) & (F.col(known) <= F.lit(at)))
+    row = rows.agg(F.max_by(F.struct(value, known, until), known).alias("f")).first()["f"]
+    if row is None or (row[until] is not None and at >= row[until]):
+        return None
+    return row.asDict()
