@@ -11,7 +11,7 @@ from math import log as ln
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.functions.expr import by_security, col, div, lag, log, pct_rank, roll
+from quoin.functions.expr import col, div, lag, log, pct_rank, roll
 
 RETURNS, MOMENTA, REVERSALS, RELATIVE = (1, 2, 3, 5, 10, 21, 63, 126, 252), (5, 10, 21, 63, 126, 252), (1, 2, 5), (5, 21, 63)
 YEAR = 252
@@ -147,4 +147,4 @@ def latest_filing(facts: DataFrame, known: str = "available_from") -> DataFrame:
     return facts.select("security_id", F.lit("any_filing").alias("metric_name"), F.lit(1.0).alias("metric_value"), known, F.lit(None).cast("timestamp_ntz").alias("available_to")).distinct()
 
 
-__all__ = ["FAMILIES", "METRICS", "REGISTERED", "by_security", "latest_filing", "with_fundamentals", "with_interactions", "with_price_features", "with_ranks"]
+__all__ = ["FAMILIES", "METRICS", "REGISTERED", "latest_filing", "with_fundamentals", "with_interactions", "with_price_features", "with_ranks"]

@@ -198,6 +198,14 @@ class BoostedStumps:
                     most, best = gain, (f, int(b), float(self.rate * low_t[b] / low_n[b]), float(self.rate * high_t[b] / high_n[b]))
         return best
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True, default=int)
+
+    @staticmethod
+    def from_json(text: str) -> BoostedStumps:
+        values = json.loads(text)
+        return BoostedStumps(**values | {"splits": [tuple(s) for s in values["splits"]]})
+
     def predict(self) -> Column:
         out = F.lit(self.base)
         bins = [self._bin(i) for i in range(len(self.features))]

@@ -3,7 +3,7 @@
 ``co_sorted`` hash-partitions rows by key and sorts each partition, so all rows of a key pass one Python task as one
 contiguous run. The helpers below cut the Arrow batches of such a task into runs. Against one grouped call per key
 this saves the per-group overhead, which dominates where keys number millions and groups are small; memory is bounded by
-the largest run (``key_runs``) or by one batch (``row_stream``).
+the largest run.
 """
 
 from __future__ import annotations

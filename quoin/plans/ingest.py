@@ -93,7 +93,7 @@ def corp_action_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Security type inferred from company names in documents' second words, exchange labels, and company ids on ten digits."""
+    """Security types inferred from names, and exchange labels, by ordered rules over the part table's texts."""
     names = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     return names.select("p_partkey", security_type("p_name").alias("security_type"), exchange_label("p_type").alias("exchange"))
 

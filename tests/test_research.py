@@ -80,6 +80,7 @@ def test_stumps_learn_and_do_not_see_row_order(spark):
     df, x, y = table(spark)
     one, two = (BoostedStumps(rounds=15, rate=0.3, keep=2).fit(d, ["a", "b", "c"], "y") for d in (df, df.repartition(5)))
     assert [s[:2] for s in one.splits] == [s[:2] for s in two.splits] and set(one.features) == {"a", "b"}
+    one = BoostedStumps.from_json(one.to_json())
     got = df.where("y IS NOT NULL AND a IS NOT NULL").select(F.corr(one.predict(), "y")).first()[0]
     assert got > 0.85
 
