@@ -3,6 +3,7 @@
 Method: vector bin packing by the dot-product heuristic. A container has limits on tokens, on segments and on loss-bearing tokens. While
 one is open, the item that fits and has the greatest dot product of its sizes with the room left, each as a share of its limit, is placed;
 when none fits it is closed. Only an item beyond the token capacity is split, into full pieces, each a container of its own, and a rest.
+Where a kind's loss limit is below its capacity, an item whose own loss exceeds it is a container of its own, too.
 
 Items are packed in shards of bounded size, spread by hash, so no source or length makes a shard large. What lies in containers that a shard
 left under ``GOOD`` full is packed again in fewer shards; rounds end when one shard remains. Equal sizes share one line of the tables
@@ -76,34 +77,36 @@ def _pack_runs(limits: Mapping[str, tuple[int, int, int]]):
     return task
 
 
-def pack_containers(items: DataFrame, key: str, tokens: str, loss: str, limits: Mapping[str, tuple[int, int, int]], *, shard: int = SHARD) -> DataFrame:
+def pack_containers(items: DataFrame, key: str, tokens: str, loss: str, limits: Mapping[str, tuple[int, int, int]], *, shard: int = SHARD, alone: bool = False) -> DataFrame:
     """Every item in containers of every kind: container_kind, container_id, ``key``, piece, from_token, tokens, loss_tokens.
 
-    ``limits``: kind -> (tokens, segments, loss-bearing tokens) at most; the last must not be under the first, or an item could need a
-    split below the capacity (raises). ``loss`` tokens of an item are its last ones and are cut to its tokens. Pieces of one item number
+    ``limits``: kind -> (tokens, segments, loss-bearing tokens) at most. If the last is under the first, an item within the capacity can bear
+    more loss than is allowed: that raises, unless ``alone``, with which such an item, or full piece, is a container of its own, the only
+    kind of container beyond its loss limit. ``loss`` tokens of an item are its last ones and are cut to its tokens. Pieces of one item number
     from 0 in text order. Items without tokens (null, zero or below) need no room and come in no container. Keys should be unique: two items of
     one key are placed apart but cannot be told from each other. An empty table or no kinds give no containers. Extra columns are ignored.
     """
     for kind, (most, segments, losses) in limits.items():
-        if most < 1 or segments < 1 or losses < most:
+        if most < 1 or segments < 1 or losses < (1 if alone else most):
             raise ValueError(f"impossible limits for {kind}: {(most, segments, losses)}")
     spark = items.sparkSession
     size = F.col("tokens")
     own = items.select(F.col(key).alias("key"), F.col(tokens).cast("long").alias("tokens"), F.greatest(F.lit(0), F.least(F.coalesce(F.col(loss).cast("long"), F.lit(0)), F.col(tokens).cast("long"))).alias("loss"))
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v[0]).cast("long").alias("capacity")) for k, v in limits.items()))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v[0]).cast("long").alias("capacity"), F.lit(v[2]).cast("long").alias("bearing")) for k, v in limits.items()))
     if not limits:
-        kinds = F.array().cast("array<struct<kind:string,capacity:bigint>>")
+        kinds = F.array().cast("array<struct<kind:string,capacity:bigint,bearing:bigint>>")
     pieces = own.where("tokens > 0").withColumn("k", F.explode(kinds)).select("key", "tokens", "loss", "k.*")
     pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / F.col("capacity")).cast("int"))))
     start = F.col("piece") * F.col("capacity")
     part = F.least(size - start, F.col("capacity"))
     pieces = pieces.select(
-        "kind", "capacity", "key", "piece", start.alias("from_token"), part.alias("tokens"),
+        "kind", "capacity", "bearing", "key", "piece", start.alias("from_token"), part.alias("tokens"),
         F.greatest(F.lit(0), start + part - F.greatest(size - F.col("loss"), start)).alias("loss"),
     )
-    full = pieces.where("tokens = capacity")
-    done = full.select("kind", F.concat_ws("-", "kind", F.lit("full"), F.col("key").cast("string"), F.col("piece").cast("string"), F.xxhash64("key").cast("string")).alias("id"), "key", "piece", "from_token", "tokens", "loss")
-    rest = pieces.where("tokens < capacity").drop("capacity")
+    pieces = pieces.withColumn("why", F.when(F.col("tokens") == F.col("capacity"), "full").when(F.col("loss") > F.col("bearing"), "alone"))
+    own = pieces.where("why IS NOT NULL")
+    done = own.select("kind", F.concat_ws("-", "kind", "why", F.col("key").cast("string"), F.col("piece").cast("string"), F.xxhash64("key").cast("string")).alias("id"), "key", "piece", "from_token", "tokens", "loss")
+    rest = pieces.where("why IS NULL").drop("capacity", "bearing", "why")
     schema = StructType(
         [StructField("kind", StringType()), StructField("shard", IntegerType()), StructField("key", items.schema[key].dataType), StructField("piece", IntegerType())]
         + [StructField(c, LongType()) for c in ("from_token", "tokens", "loss", "number", "filled")]

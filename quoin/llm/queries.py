@@ -10,17 +10,25 @@ from quoin.llm.tokens import token_counts
 from quoin.session import cut, table
 
 
-#: Segments of a container: one for this many tokens of capacity, so many short texts share a container before the limit binds.
-TOKENS_A_SEGMENT = 16
+#: Segments of a container: one for this many tokens of capacity, so that a container of short texts alone closes before it is full.
+TOKENS_A_SEGMENT = 64
+#: Loss-bearing tokens of a container: all but one in this many of its capacity, so that texts without prompts do not share one to its brim.
+TOKENS_A_PROMPT = 32
+
+
+def container_limits(capacity: int) -> tuple[int, int, int]:
+    """Tokens, segments and loss-bearing tokens of a container at most."""
+    return capacity, max(1, capacity // TOKENS_A_SEGMENT), max(1, capacity - capacity // TOKENS_A_PROMPT)
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts in containers of every kind. The first of several lines of a text is its prompt; the rest bears loss."""
+    """All texts in containers of every kind. The first of several lines of a text is its prompt; the rest bears loss. A text
+    with more loss than a container may bear has one of its own."""
     counts = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
     items = cut(counts.select("doc_id", "tokens", (F.col("tokens") - F.col("prompt_tokens")).alias("loss")))
     kinds = table(spark, sf_dir, "pack_capacity").collect()  # a fixed table of a few rows
-    limits = {r["container_kind"]: (r["capacity_tokens"], max(1, r["capacity_tokens"] // TOKENS_A_SEGMENT), r["capacity_tokens"]) for r in kinds}
-    return pack_containers(items, "doc_id", "tokens", "loss", limits)
+    limits = {r["container_kind"]: container_limits(r["capacity_tokens"]) for r in kinds}
+    return pack_containers(items, "doc_id", "tokens", "loss", limits, alone=True)
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
