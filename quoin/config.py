@@ -41,7 +41,7 @@ class Model:
 
 @dataclass(frozen=True)
 class Config:
-    splits: WalkForward = field(default_factory=lambda: WalkForward(train=12, valid=2, test=1, step=3))
+    splits: WalkForward = field(default_factory=lambda: WalkForward(train=12, valid=2, test=1, step=1))
     preprocessing: Preprocessing = field(default_factory=Preprocessing)
     model: Model = field(default_factory=Model)
 

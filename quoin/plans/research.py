@@ -15,8 +15,10 @@ from quoin.plans.features import FUND_CTE
 from quoin.plans.labels import LABEL_CTE, TRAIN_END, feature_base
 from quoin.plans.features import pit_panel
 from quoin.operators.features import with_fundamentals
+from quoin.session import cut
 
-SPEC = WalkForward(train=12, valid=2, test=1, step=3)
+#: Steps of the test's length, so that every month after the first training and validation is tested once.
+SPEC = WalkForward(train=12, valid=2, test=1, step=1)
 LINEAR = ["mom_21_ex1", "rev_1"]
 WIDE = ["mom_21_ex1", "rev_1", "vol_21", "ret_5", "px_to_ma20", "hl_range_21"]
 LABEL = "label_excess_5d_oo"
@@ -81,7 +83,7 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oof_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores with rank and decile: a model per fold on its kept training dates, applied to its test dates."""
-    panel = scored(spark, sf_dir).select("security_id", "date", *LINEAR, LABEL)
+    panel = cut(scored(spark, sf_dir).select("security_id", "date", *LINEAR, LABEL))  # two passes a fold
     roles = fold_roles(calendar(spark, sf_dir), SPEC).where("drop_reason IS NULL")
     out = None
     for fold in [r[0] for r in roles.select("fold").distinct().orderBy("fold").collect()]:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quoin.config import Config
 from quoin.operators.calendar import easter, half_days, holidays, require_no_same_bar, sessions
 from quoin.operators.evaluate import block_bootstrap, deflated_sharpe, drawdown_of, gates, one_sided_p, probabilistic_sharpe
 from quoin.operators.models import BoostedStumps, LinearModel, elastic_net, gram, grid_of, ridge, some_of, tune
@@ -13,6 +14,7 @@ from quoin.operators.preprocess import FoldSafePreprocessor
 from quoin.operators.quality import first_failing
 from quoin.operators.splits import WalkForward, fold_roles, overlapping
 from quoin.plans.base import calendar
+from quoin.plans.research import SPEC
 from quoin.streaming.ingest import append_batches, latest_versions
 from quoin.streaming.intervals import stream_periods
 
@@ -53,6 +55,15 @@ def test_folds_keep_their_distance(spark, expanding):
         assert (by[f, "train"][0] == 1) == (expanding or f == 0)
 
 
+@pytest.mark.parametrize("spec", [SPEC, Config().splits])
+def test_every_session_after_the_first_span_is_tested_once(spark, data, spec):
+    days = [r[0] for r in calendar(spark, data).select("session_date").orderBy("session_date").collect()]
+    months = sorted({(d.year, d.month) for d in days})
+    left = [d for d in days if (d.year, d.month) in months[spec.train + spec.valid :]]
+    tested = fold_roles(calendar(spark, data), spec).where("role = 'test' AND drop_reason IS NULL").select("date").collect()
+    assert sorted(r[0] for r in tested) == left
+
+
 def table(spark, n=600, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, 3))
