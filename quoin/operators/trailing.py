@@ -26,11 +26,11 @@ def dense_days(df: DataFrame, keys: Sequence[str], day: str, values: Sequence[st
         rows = rows.where(F.col(k).isNotNull())
     measures = [f(v).alias(f"{v}__{name}") for v in values for name, f in (("sum", F.sum), ("n", F.count))]
     daily = rows.groupBy(*keys, "c_day").agg(*measures).join(days, "c_day", "left").drop("c_day")
-    # rows on no calendar day only say that the entity exists
+    # rows on no calendar day only say that the entity exists: all of them begin at day 1 and are real on none
     daily = daily.withColumn("day_no", F.coalesce("day_no", F.lit(0))).repartition(width(df.sparkSession), *keys)
     order = Window.partitionBy(*keys).orderBy("day_no")
     spans = daily.withColumns({"nth": F.row_number().over(order), "until": F.coalesce(F.lead("day_no").over(order), F.lit(last + 1)) - 1})
-    begin = F.when(F.col("nth") == 1, F.lit(1)).otherwise(F.col("day_no"))
+    begin = F.when(F.col("nth") == 1, F.lit(1)).otherwise(F.greatest("day_no", F.lit(1)))
     spans = spans.withColumn("from", begin).where(F.col("from") <= F.col("until"))
     grid = spans.withColumn("grid_no", F.explode(F.sequence("from", "until")))
     real = F.col("grid_no") == F.col("day_no")

@@ -72,6 +72,14 @@ def test_trailing_totals_count_days_without_rows(spark):
     assert rolling(spark.createDataFrame([], "k string, day date, v double"), ["k"], "day", cal, "d", "no", {"v": [3]}).count() == 0
 
 
+def test_several_days_outside_the_calendar_count_for_none(spark):
+    cal = spark.createDataFrame([(day(i), i + 1) for i in range(5)], "d date, no int")
+    rows = [("a", day(20), 5.0), ("a", day(21), 7.0), ("a", None, 9.0), ("a", day(2), 1.0), ("b", day(20), 5.0), ("b", None, 9.0)]
+    out = rolling(spark.createDataFrame(rows, "k string, day date, v double"), ["k"], "day", cal, "d", "no", {"v": [3]}).collect()
+    a = {no: (1.0, 1) if no >= 3 else (0.0, 0) for no in range(1, 6)}
+    assert sorted((r["k"], r["day_no"], r["v_sum_3"], r["v_n_3"]) for r in out) == [("a", no, *a[no]) for no in a] + [("b", no, 0.0, 0) for no in a]
+
+
 # history
 HISTORY = "k string, t date, loaded timestamp, s string, d string, valid_from int"
 
