@@ -76,8 +76,9 @@ def linear_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted stumps of the operator's 50 rounds, fitted on the training rows and applied to all."""
     train = _train(spark, sf_dir).select(*WIDE, LABEL)
-    model = BoostedStumps(rounds=10).fit(train, WIDE, LABEL)
+    model = BoostedStumps().fit(train, WIDE, LABEL)
     return _day(feature_base(spark, sf_dir).select("security_id", "date", model.predict().alias("score")))
 
 

@@ -14,7 +14,7 @@ from quoin.operators.preprocess import FoldSafePreprocessor
 from quoin.operators.quality import first_failing
 from quoin.operators.splits import WalkForward, fold_roles, overlapping
 from quoin.plans.base import calendar
-from quoin.plans.research import SPEC
+from quoin.plans.research import SPEC, boosted_scores
 from quoin.streaming.ingest import append_batches, latest_versions
 from quoin.streaming.intervals import stream_periods
 
@@ -96,6 +96,12 @@ def test_stumps_learn_and_do_not_see_row_order(spark):
     assert got > 0.85
 
 
+def test_the_boosting_query_runs_all_rounds(spark, data, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(BoostedStumps, "fit", lambda self, *_: rounds.append(self.rounds) or self)
+    assert boosted_scores(spark, data).columns == ["security_id", "date", "score"] and rounds == [50]
+
+
 def test_tuning_keeps_the_first_best():
     options = grid_of(a=[1, 2, 3], b=[0])
     assert tune(options, lambda p: p["a"], lambda m: min(m, 2)) == ({"a": 2, "b": 0}, 2)
