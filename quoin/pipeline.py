@@ -1,4 +1,4 @@
-"""The research pipeline: panel, labels, folds, out-of-fold scores, evaluation and report, as lazy plans with two written tables."""
+"""The panel pipeline: panel, labels, folds, out-of-fold scores, evaluation and report, as lazy plans with two written tables."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from quoin.operators.models import LinearModel, decile, elastic_net, gram, rank_
 from quoin.operators.preprocess import FoldSafePreprocessor
 from quoin.operators.splits import fold_roles, overlapping
 from quoin.plans.base import calendar
-from quoin.plans.research import scored
+from quoin.plans.evaluation import scored
 from quoin.sources.sinks import dataset_id, line_chart, markdown, write_json, write_table
 
 LOG = logging.getLogger("quoin")

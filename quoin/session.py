@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -39,11 +41,13 @@ def width(spark: SparkSession) -> int:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder that spark.checkpoint.dir names, so that later reads survive the loss of
-    executors. A folder of our own is made only where that setting is unset, as in tests."""
+    executors. Where that setting is unset, a single-machine session, as in tests, uses a folder of its own; a cluster raises."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quoin-"))
     return df.checkpoint(eager=True)
 

@@ -14,7 +14,7 @@ from quoin.operators.preprocess import FoldSafePreprocessor
 from quoin.operators.quality import first_failing
 from quoin.operators.splits import WalkForward, fold_roles, overlapping
 from quoin.plans.base import calendar
-from quoin.plans.research import SPEC, boosted_scores
+from quoin.plans.evaluation import SPEC, boosted_scores
 from quoin.streaming.ingest import append_batches, latest_versions
 from quoin.streaming.intervals import stream_periods
 
