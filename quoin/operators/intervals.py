@@ -2,11 +2,14 @@
 
 Method: keyed state holds an ordered map of disjoint periods per key. Every insertion locates the periods it touches by
 binary search, merges them and so closes or shifts the gaps between neighbours. Rows reach the state in start order, which makes
-an insertion an append in the usual case; any other order gives the same map.
+an insertion an append in the usual case; any other order gives the same map. Pairs come from the intervals still open at
+the insertion, in order of their ends: a binary search finds those that reach beyond the new start, so work is in proportion to pairs.
 
-A hot key is cut into time slabs. An interval goes to the slab of its start and, as a visitor, to every later slab that it
-reaches; a pair is reported in the slab of the later start, so no link is lost or doubled. Only the first and last period
-of each slab can continue elsewhere; those edges, two a slab at most, are folded together per key at the end.
+A hot key is cut into slabs of (start, id). Periods need one visitor a slab: of all earlier intervals, the one that reaches furthest.
+Only the first and last period of each slab can continue elsewhere; those edges, two a slab at most, are folded together per
+key at the end. Pairs need every earlier interval that reaches into the slab; these visitors are dealt over chunks, each of
+which sees all rows of its slab, and a pair is reported where its later start is at home. So no task holds more than about twice
+the limit, and no link is lost or doubled.
 """
 
 from __future__ import annotations
@@ -16,31 +19,30 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quoin.operators.runs import co_sorted, ints, key_runs
-from quoin.operators.slabs import LIMIT, slab_bounds
+from quoin.operators.slabs import LIMIT, chunked, slab_bounds, slab_of
 
 OPEN = np.iinfo(np.int64).max
 _NONE = np.iinfo(np.int64).min
 
 
 class IntervalMap:
-    """Disjoint periods in order, each with its member intervals. Touching intervals share a period; they do not overlap."""
+    """Disjoint periods in order. Touching intervals share a period."""
 
-    __slots__ = ("starts", "ends", "first", "last", "members")
+    __slots__ = ("starts", "ends", "first", "last")
 
     def __init__(self) -> None:
         self.starts: list[int] = []
         self.ends: list[int] = []
         self.first: list[int] = []  # least id of an interval that starts the period
         self.last: list[int] = []  # least id of an interval that ends it
-        self.members: list[tuple[list, list, list, list]] = []  # starts, ends, ids, running greatest end
 
-    def insert(self, start: int, end: int, key: int) -> list[int]:
-        """Add [start, end); returns the ids of the intervals already there that share more than an instant with it."""
+    def insert(self, start: int, end: int, key: int) -> None:
+        """Add [start, end)."""
         low = bisect_left(self.ends, start)
         high = bisect_right(self.starts, end, low)
         if low == high:
@@ -48,11 +50,11 @@ class IntervalMap:
             self.ends.insert(low, end)
             self.first.insert(low, key)
             self.last.insert(low, key)
-            self.members.insert(low, ([start], [end], [key], [end]))
-            return []
+            return
         if high - low > 1:
-            self._merge(low, high)
-        met = self._place(self.members[low], start, end, key)
+            self.ends[low], self.last[low] = self.ends[high - 1], self.last[high - 1]
+            for part in (self.starts, self.ends, self.first, self.last):
+                del part[low + 1 : high]
         if start < self.starts[low]:
             self.starts[low], self.first[low] = start, key
         elif start == self.starts[low]:
@@ -61,42 +63,28 @@ class IntervalMap:
             self.ends[low], self.last[low] = end, key
         elif end == self.ends[low]:
             self.last[low] = min(self.last[low], key)
-        return met
-
-    def _merge(self, low: int, high: int) -> None:
-        starts, ends, keys, most = self.members[low]
-        for other in self.members[low + 1 : high]:
-            starts += other[0]
-            ends += other[1]
-            keys += other[2]
-            most += other[3]  # periods are disjoint and in order: their running ends stay in order
-        self.ends[low], self.last[low] = self.ends[high - 1], self.last[high - 1]
-        for part in (self.starts, self.ends, self.first, self.last, self.members):
-            del part[low + 1 : high]
-
-    @staticmethod
-    def _place(members: tuple[list, list, list, list], start: int, end: int, key: int) -> list[int]:
-        starts, ends, keys, most = members
-        at = bisect_right(starts, start)
-        met = []
-        j = at - 1
-        while j >= 0 and most[j] > start:
-            if ends[j] > start:
-                met.append(keys[j])
-            j -= 1
-        j = at
-        while j < len(starts) and starts[j] < end:
-            met.append(keys[j])
-            j += 1
-        starts.insert(at, start)
-        ends.insert(at, end)
-        keys.insert(at, key)
-        most.insert(at, max(end, most[at - 1]) if at else end)
-        for j in range(at + 1, len(most)):
-            if most[j] >= end:
-                break
-            most[j] = end
-        return met
+
+
+class OpenIntervals:
+    """The intervals that are still open, by their ends, while starts ascend."""
+
+    __slots__ = ("ends", "ids")
+
+    def __init__(self) -> None:
+        self.ends: list[int] = []
+        self.ids: list[int] = []
+
+    def close(self, start: int) -> list[int]:
+        """Forgets what has ended by ``start`` and returns the ids of all others, whatever their order."""
+        done = bisect_right(self.ends, start)
+        if done:
+            del self.ends[:done], self.ids[:done]
+        return self.ids
+
+    def add(self, end: int, key: int) -> None:
+        at = bisect_right(self.ends, end)
+        self.ends.insert(at, end)
+        self.ids.insert(at, key)
 
 
 class _Rows:
@@ -138,32 +126,52 @@ class _Rows:
         yield from out.combine_chunks().to_batches()
 
 
-def _state(keys: Sequence[str], start: str, end: str, key: str, pairs: bool):
-    """One task: runs of (keys, slab_no) in start order. Edges are periods that may continue in another slab."""
+#: Roles of a row in its slab: the furthest of all earlier intervals, an earlier interval that reaches into the slab, one that starts in it.
+CARRY, VISITOR, HOME = 0, 1, 2
+#: Rows of a task's output that are kept before they are handed on.
+FLUSH = 200_000
+
+
+def _state(keys: Sequence[str], pairs: bool):
+    """One task: runs of (keys, slab_no, chunk_no) in order of start and id. Edges are periods that may continue in another slab."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in key_runs(batches, [*keys, "slab_no"]):
-            starts, ends = ints(table[start], _NONE).tolist(), ints(table[end], OPEN).tolist()
-            own, slabs = ints(table[key], _NONE).tolist(), ints(table["slab_no"], 0).tolist()
-            home, last_slab = table["home"].to_pylist(), ints(table["slabs"], 1).tolist()
-            rows = _Rows(table.select(list(keys)))
+        for table, bounds in key_runs(batches, [*keys, "slab_no", "chunk_no"]):
+            starts, ends, own = (ints(table[c], d).tolist() for c, d in (("t_start", _NONE), ("t_end", OPEN), ("id_1", _NONE)))
+            roles, slabs, split, chunks = (ints(table[c], 0).tolist() for c in ("role", "slab_no", "slabs", "chunk_no"))
+            names = table.select(list(keys))
+            rows = _Rows(names)
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                state, seen, at_home = IntervalMap(), set(), {}
+                state, visitors, homes, main, before = IntervalMap(), OpenIntervals(), OpenIntervals(), chunks[low] == 0, None
                 for i in range(low, high):
-                    fact = (starts[i], ends[i], own[i])
-                    if fact in seen:  # an exact duplicate counts once
+                    fact = (starts[i], ends[i], own[i], roles[i])
+                    if fact == before:  # an exact duplicate counts once
                         continue
-                    seen.add(fact)
-                    at_home[own[i]] = at_home.get(own[i], False) or home[i]
-                    for other in state.insert(*fact):
-                        if pairs and other != own[i] and (home[i] or at_home[other]):
-                            rows.add(low, "overlap", min(other, own[i]), max(other, own[i]), starts[i], ends[i])
+                    before = fact
+                    start, end, key, role = fact
+                    if main:
+                        state.insert(start, end, key)
+                    if not pairs or role == CARRY:
+                        continue
+                    if role == VISITOR:
+                        visitors.add(end, key)
+                        continue
+                    met = visitors.close(start)
+                    if main:
+                        met = met + homes.close(start)
+                        homes.add(end, key)
+                    for other in met:
+                        if other != key:
+                            rows.add(low, "overlap", min(other, key), max(other, key), start, end)
+                    if len(rows.at) > FLUSH:
+                        yield from rows.batches()
+                        rows = _Rows(names)
                 n = len(state.starts)
                 for k in range(n):
                     if k:
                         a, b = state.last[k - 1], state.first[k]
                         rows.add(low, "gap", min(a, b), max(a, b), state.ends[k - 1], state.starts[k])
-                    edge = last_slab[low] > 1 and k in (0, n - 1)
+                    edge = split[low] > 1 and k in (0, n - 1)
                     rows.add(low, "edge" if edge else "period", state.first[k], state.last[k], state.starts[k], state.ends[k], slabs[low])
             yield from rows.batches()
 
@@ -214,26 +222,44 @@ def interval_map(df: DataFrame, keys: Sequence[str], start: str, end: str, key:
     and are left out. Repeated rows count once; equal intervals with different ids overlap. Other columns are ignored, so their names
     cannot clash. An empty table gives an empty result. Start and end must be timestamps.
     """
-    own = df.select(*keys, F.col(start).alias("t_start"), F.col(end).alias("t_end"), F.col(key).cast("long").alias("id_1"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    own = df.select(*keys, micros(start).alias("t_start"), micros(end).alias("t_end"), F.col(key).cast("long").alias("id_1"))
     own = own.where(F.col("t_start").isNotNull() & F.col("id_1").isNotNull() & (F.col("t_end").isNull() | (F.col("t_end") > F.col("t_start"))))
     for k in keys:
         own = own.where(F.col(k).isNotNull())
-    bounds = slab_bounds(own, keys, "t_start", limit)
+    bounds = slab_bounds(own, keys, "t_start", "id_1", limit)
     if bounds is None:
-        placed = own.withColumns({"slab_no": F.lit(0), "slabs": F.lit(1), "home": F.lit(True)})
+        placed = own.withColumns({"slab_no": F.lit(0), "chunk_no": F.lit(0), "slabs": F.lit(1), "role": F.lit(HOME)})
     else:
-        joined = own.join(bounds, list(keys), "left")
-        inner = F.coalesce("bounds", F.array().cast(bounds.schema["bounds"].dataType))
-        first = F.size(F.filter(inner, lambda b: b <= F.col("t_start")))
-        last = F.when(F.col("t_end").isNull(), F.size(inner)).otherwise(F.size(F.filter(inner, lambda b: b < F.col("t_end"))))
-        placed = joined.withColumns({"own_slab": first, "slabs": F.size(inner) + 1, "slab_no": F.explode(F.sequence(first, F.greatest(first, last)))})
-        placed = placed.withColumn("home", F.col("slab_no") == F.col("own_slab")).drop("own_slab", "bounds")
-    placed = placed.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("t_start", "t_end")})
+        placed = _slabs(own, bounds, keys, pairs, limit)
     schema = StructType(
         [df.schema[k] for k in keys] + [StructField("kind", StringType()), *(StructField(c, LongType()) for c in ("id_1", "id_2", "t_start", "t_end", "slab_no"))]
     )
-    found = co_sorted(placed, [*keys, "slab_no"], ["t_start", "t_end", "id_1"]).mapInArrow(_state(list(keys), "t_start", "t_end", "id_1", pairs), schema)
+    found = co_sorted(placed, [*keys, "slab_no", "chunk_no"], ["t_start", "id_1", "t_end", "role"]).mapInArrow(_state(list(keys), pairs), schema)
     if bounds is not None:
         edges = co_sorted(found.where("kind = 'edge'"), list(keys), ["slab_no", "t_start"]).mapInArrow(_stitch(list(keys)), schema)
         found = found.where("kind <> 'edge'").unionByName(edges)
     return found.drop("slab_no").withColumns({c: F.timestamp_micros(c) for c in ("t_start", "t_end")})
+
+
+def _slabs(own: DataFrame, bounds: DataFrame, keys: Sequence[str], pairs: bool, limit: int) -> DataFrame:
+    """Rows with their slab, its chunk, the number of slabs of the key and the row's role there."""
+    joined = own.distinct().join(bounds, list(keys), "left").withColumn("slab_no", slab_of("bounds", "t_start", "id_1"))
+    joined = joined.withColumn("slabs", F.coalesce(F.size("bounds"), F.lit(0)) + 1)
+    home = joined.withColumn("role", F.lit(HOME))
+    hot = joined.where("slabs > 1")
+    # of each slab the interval that reaches furthest, and of all slabs before the furthest of those: one row a slab
+    end = F.coalesce("t_end", F.lit(OPEN))
+    reach = hot.groupBy(*keys, "slab_no", "slabs").agg(F.max(F.struct(end.alias("e"), (-F.col("id_1")).alias("i"), "t_start")).alias("r"))
+    before = Window.partitionBy(*keys).orderBy("slab_no").rowsBetween(Window.unboundedPreceding, -1)
+    carry = reach.withColumn("r", F.max("r").over(before)).where("r IS NOT NULL")
+    carry = carry.select(*keys, F.col("r.t_start").alias("t_start"), F.nullif(F.col("r.e"), F.lit(OPEN)).alias("t_end"), (-F.col("r.i")).alias("id_1"), "slab_no", "slabs", F.lit(CARRY).alias("role"))
+    home = home.drop("bounds")
+    if not pairs:
+        return home.unionByName(carry).withColumn("chunk_no", F.lit(0))
+    last = F.when(F.col("t_end").isNull(), F.col("slabs") - 1).otherwise(F.size(F.filter("bounds", lambda b: b["t"] < F.col("t_end"))))
+    visits = hot.withColumn("slab_no", F.explode(F.when(last > F.col("slab_no"), F.sequence(F.col("slab_no") + 1, last)))).drop("bounds")
+    rows = home.unionByName(visits.withColumn("role", F.lit(VISITOR)))
+    # of a pair with a visitor the other side is at home: dealing the visitors out loses none
+    dealt = chunked(rows, F.col("role") == VISITOR, [*keys, "slab_no"], F.struct("id_1", "t_start", "t_end"), limit)
+    return dealt.unionByName(carry.withColumn("chunk_no", F.lit(0)))
