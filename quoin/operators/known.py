@@ -7,12 +7,17 @@ hold the greatest valid_to below them, which keeps that search logarithmic.
 
 Balance comes from treap priorities that are a hash of the node number, so the trees are the same on every run.
 
-A hot entity is cut into slabs of known time. A fact goes to the slab where it became known and on to later slabs only
-until one in which another fact outlives it has begun, so copies stay few; each event goes to exactly one slab.
+Nodes are flat arrays of 20 bytes; an insertion copies about twice the depth, so ``LIMIT`` facts make some 4 million nodes, 90 MB.
+
+A hot entity is cut into slabs of (known time, id). A fact goes to the slab where it became known and on to later slabs only
+until one in which another fact outlives it has begun, so copies stay few where events ask for their own known time; where they
+ask for other valid times, all later slabs need it. Each event goes to one slab, and events of a crowded slab are dealt over chunks
+that each hold its facts.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
@@ -22,86 +27,85 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, MapType, StructField, StructType
 
 from quoin.operators.runs import co_sorted, floats, ints, key_runs
-from quoin.operators.slabs import LIMIT, slab_bounds
+from quoin.operators.slabs import chunked, slab_bounds, slab_of
 
+#: Rows of one entity that one task takes at most, roughly.
+LIMIT = 200_000
 OPEN = np.iinfo(np.int64).max
 _NONE = np.iinfo(np.int64).min
 
 
 class PersistentTree:
-    """Versions of a search tree on (valid_from, id); node 0 is the empty tree."""
+    """Versions of a search tree on (valid_from, order of insertion); node 0 is the empty tree. Nodes refer to their fact by its number."""
 
-    __slots__ = ("key", "until", "most", "left", "right", "rank", "known", "roots")
+    __slots__ = ("fact", "most", "left", "right", "valid", "until", "ids", "rank", "known", "roots")
 
     def __init__(self) -> None:
-        self.key: list[tuple[int, int]] = [(0, 0)]
-        self.until: list[int] = [_NONE]
-        self.most: list[int] = [_NONE]
-        self.left: list[int] = [0]
-        self.right: list[int] = [0]
-        self.rank: list[int] = [-1]
-        self.known: list[int] = []  # known time of each version
-        self.roots: list[int] = []
-
-    def _node(self, key: tuple[int, int], until: int, left: int, right: int, rank: int) -> int:
-        self.key.append(key)
-        self.until.append(until)
+        self.fact, self.left, self.right, self.most = array("i", [-1]), array("i", [0]), array("i", [0]), array("q", [_NONE])
+        self.valid, self.until, self.ids, self.rank = array("q"), array("q"), array("q"), array("L")  # of each fact
+        self.known, self.roots = array("q"), array("i")  # known time of each version, and its root
+
+    def _node(self, fact: int, left: int, right: int) -> int:
+        most, here = self.most, self.until[fact]
+        if most[left] > here:
+            here = most[left]
+        if most[right] > here:
+            here = most[right]
+        self.fact.append(fact)
         self.left.append(left)
         self.right.append(right)
-        self.rank.append(rank)
-        self.most.append(max(until, self.most[left], self.most[right]))
-        return len(self.key) - 1
-
-    def _split(self, node: int, key: tuple[int, int]) -> tuple[int, int]:
-        """Copies of the parts before and from ``key``."""
-        path = []
-        while node:
-            below = self.key[node] < key
-            path.append((node, below))
-            node = self.right[node] if below else self.left[node]
-        low = high = 0
+        most.append(here)
+        return len(most) - 1
+
+    def _copy(self, path: list[tuple[int, bool]], new: int) -> int:
+        """The path from the root, copied, with ``new`` at its end."""
         for node, below in reversed(path):
-            if below:
-                low = self._node(self.key[node], self.until[node], self.left[node], low, self.rank[node])
-            else:
-                high = self._node(self.key[node], self.until[node], high, self.right[node], self.rank[node])
-        return low, high
+            new = self._node(self.fact[node], self.left[node], new) if below else self._node(self.fact[node], new, self.right[node])
+        return new
 
     def insert(self, known: int, valid_from: int, valid_to: int, key: int) -> None:
         """A new version at ``known``, which must not be before that of the last version."""
-        own = (valid_from, key)
-        rank = (len(self.key) * 2654435761) & 0xFFFFFFFF
+        own = len(self.valid)
+        rank = (own * 2654435761 + 97) & 0xFFFFFFFF
+        for part, value in ((self.valid, valid_from), (self.until, valid_to), (self.ids, key), (self.rank, rank)):
+            part.append(value)
+        fact, left, right, valid, ranks = self.fact, self.left, self.right, self.valid, self.rank
         node, path = self.roots[-1] if self.roots else 0, []
-        while node and self.rank[node] >= rank:
-            below = self.key[node] < own
+        while node and ranks[fact[node]] >= rank:
+            below = valid[fact[node]] <= valid_from  # of equal times the later insertion is the greater
             path.append((node, below))
-            node = self.right[node] if below else self.left[node]
-        low, high = self._split(node, own)
-        new = self._node(own, valid_to, low, high, rank)
-        for node, below in reversed(path):
+            node = right[node] if below else left[node]
+        lower = upper = 0
+        inner = []
+        while node:  # what lies below is split before and after the new fact
+            below = valid[fact[node]] <= valid_from
+            inner.append((node, below))
+            node = right[node] if below else left[node]
+        for node, below in reversed(inner):
             if below:
-                new = self._node(self.key[node], self.until[node], self.left[node], new, self.rank[node])
+                lower = self._node(fact[node], left[node], lower)
             else:
-                new = self._node(self.key[node], self.until[node], new, self.right[node], self.rank[node])
+                upper = self._node(fact[node], upper, right[node])
+        root = self._copy(path, self._node(own, lower, upper))
         if self.known and self.known[-1] == known:
-            self.roots[-1] = new
+            self.roots[-1] = root
         else:
             self.known.append(known)
-            self.roots.append(new)
+            self.roots.append(root)
 
     def at(self, known: int, valid: int) -> int | None:
         """Id of the fact known at ``known`` with the greatest valid_from <= ``valid`` < valid_to."""
         version = bisect_right(self.known, known) - 1
         if version < 0:
             return None
-        key, most, left, right, until = self.key, self.most, self.left, self.right, self.until
+        fact, most, left, right, begins, until = self.fact, self.most, self.left, self.right, self.valid, self.until
         pending, node = [], self.roots[version]
         while True:
             while node and most[node] > valid:
-                if key[node][0] <= valid:
+                if begins[fact[node]] <= valid:
                     pending.append(node)
                     node = right[node]
                 else:
@@ -109,14 +113,14 @@ class PersistentTree:
             if not pending:
                 return None
             node = pending.pop()
-            if until[node] > valid:
-                return key[node][1]
+            if until[fact[node]] > valid:
+                return self.ids[fact[node]]
             node = left[node]
 
 
 def _select(keys: Sequence[str], carried: Sequence[str], attributes: Sequence[str], schema: pa.Schema):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in key_runs(batches, [*keys, "slab_no"]):
+        for table, bounds in key_runs(batches, [*keys, "slab_no", "chunk_no"]):
             side = ints(table["side"], 0)
             known, valid = ints(table["known"], _NONE).tolist(), ints(table["valid"], _NONE).tolist()
             until, own, kind = ints(table["until"], OPEN).tolist(), ints(table["fact"], _NONE).tolist(), table["attribute"].to_pylist()
@@ -128,12 +132,12 @@ def _select(keys: Sequence[str], carried: Sequence[str], attributes: Sequence[st
                 if cut == high or not width:
                     continue
                 trees: dict[str, PersistentTree] = {}
-                row: dict[tuple, int] = {}
+                last = None
                 for i in range(low, cut):
-                    name, fact = kind[i], (kind[i], valid[i], own[i])
-                    if name not in found or fact in row:
+                    name, fact = kind[i], (known[i], own[i], kind[i], valid[i], until[i])
+                    if name not in found or fact == last:  # repeated facts lie beside each other
                         continue
-                    row[fact] = i
+                    last = fact
                     trees.setdefault(name, PersistentTree()).insert(known[i], valid[i], until[i], i)
                 for name, tree in trees.items():
                     out = found[name]
@@ -194,24 +198,26 @@ def as_known(
     for c in (*keys, "known", "valid", "fact"):
         right = right.where(F.col(c).isNotNull())
     both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(0)), allowMissingColumns=True)
-    bounds = slab_bounds(both.select(*keys, "known").where(F.col("known").isNotNull()), keys, "known", limit)
+    tie = F.when(F.col("side") == 1, F.lit(OPEN)).otherwise(F.col("fact"))  # an event sees all facts of its own time
+    both = both.withColumn("tie", tie)
+    bounds = slab_bounds(both.select(*keys, "known", "tie").where(F.col("known").isNotNull()), keys, "known", "tie", limit)
     if bounds is None:
-        placed = both.withColumn("slab_no", F.lit(0))
+        placed = both.withColumns({"slab_no": F.lit(0), "chunk_no": F.lit(0)})
     else:
-        placed = _slabs(both, bounds, keys, event_known == event_valid)
+        spot = F.struct(F.lit(0), *(F.col(c) for c in mine.values() if not isinstance(left.schema[c].dataType, MapType)))
+        placed = chunked(_slabs(both, bounds, keys, event_known == event_valid), F.col("side") == 1, [*keys, "slab_no"], spot, limit)
     schema = StructType(
         [events.schema[c] for c in (*keys, *carried)] + [StructField(f"{p}_{a}", t) for a in attributes for p, t in (("known", DoubleType()), ("fact", LongType()))]
     )
     task = _select(list(keys), list(mine.values()), list(attributes), to_arrow_schema(schema))
-    return co_sorted(placed, [*keys, "slab_no"], ["side", "known", "fact"]).mapInArrow(task, schema)
+    return co_sorted(placed.drop("tie"), [*keys, "slab_no", "chunk_no"], ["side", "known", "fact", "attribute", "valid", "until"]).mapInArrow(task, schema)
 
 
 def _slabs(both: DataFrame, bounds: DataFrame, keys: Sequence[str], same: bool) -> DataFrame:
     """Slab numbers. Facts are copied to later slabs. Where events ask for their own known time (``same``), a copy ends with the
     first later slab in which a fact began that outlives this one: from there on it can never be the latest."""
-    inner = F.coalesce("bounds", F.array().cast("array<bigint>"))
     joined = both.join(bounds, list(keys), "left")
-    joined = joined.withColumn("own_slab", F.when(F.col("known").isNull(), 0).otherwise(F.size(F.filter(inner, lambda b: b <= F.col("known")))))
+    joined = joined.withColumn("own_slab", F.when(F.col("known").isNull(), 0).otherwise(slab_of("bounds", "known", "tie")))
     ends = F.coalesce("until", F.lit(OPEN))
     facts = joined.where((F.col("side") == 0) & F.col("bounds").isNotNull())
     longest = (
@@ -221,7 +227,7 @@ def _slabs(both: DataFrame, bounds: DataFrame, keys: Sequence[str], same: bool)
     )
     facts = facts.join(longest, [*keys, "attribute"], "left")
     outlived = F.get(F.filter("longest", lambda x: (x["own_slab"] > F.col("own_slab")) & (x["most"] >= ends))["own_slab"], F.lit(0))
-    last = F.coalesce(F.when(F.lit(same) & (F.col("valid") <= F.col("known")), outlived), F.size(inner))
+    last = F.coalesce(F.when(F.lit(same) & (F.col("valid") <= F.col("known")), outlived), F.size("bounds"))
     spread = facts.withColumn("slab_no", F.explode(F.sequence(F.col("own_slab"), last)))
     rest = joined.where((F.col("side") == 1) | F.col("bounds").isNull()).withColumn("slab_no", F.col("own_slab"))
     return rest.unionByName(spread.select(*rest.columns)).drop("bounds", "own_slab")

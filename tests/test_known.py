@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from quoin.operators.known import PersistentTree, as_known
+from quoin.operators.known import LIMIT, PersistentTree, as_known
 
 T0 = datetime(2024, 1, 1)
 FACTS = "k string, m string, v double, kf timestamp, vf timestamp, vt timestamp, id long, side int"
@@ -83,3 +83,17 @@ def test_old_versions_stay_readable():
         want = max(((i * 37) % 500, i) for i in range(known + 1))
         assert tree.at(known, 10**6) == want[1]
     assert tree.at(-1, 5) is None
+
+
+def test_facts_and_events_of_one_time_are_cut_too(spark):
+    facts = [("a", "x", float(i), 7, 7, None if i % 3 else 50, i) for i in range(90)] + [("a", "x", 900.0, 20, 20, 30, 900)]
+    events = [("a", i, 7 + 4 * (i % 7), 0) for i in range(120)]
+    assert rows(run(spark, events, facts, 25, True)) == brute(events, facts, True)
+
+
+def test_a_full_slab_fits_in_memory():
+    tree, n = PersistentTree(), LIMIT // 4
+    for i in range(n):
+        tree.insert(i, (i * 7919) % n, 10**9, i)
+    size = sum(part.itemsize * len(part) for part in (tree.fact, tree.left, tree.right, tree.most, tree.valid, tree.until, tree.ids, tree.rank))
+    assert size * 4 * 1.2 < 200e6
