@@ -1,41 +1,46 @@
 """Implausible measurements per source: spikes, stuck values and impossible readings.
 
-Method: each source's log values, one per time, are decomposed by an undecimated Haar wavelet transform. Detail coefficients are scaled
-robustly, by the median absolute deviation of their level within the source; times under a coefficient beyond ``DETAIL`` scales
-are candidates. An exact check follows on candidates only: a value is a spike if it is out of proportion to the days before and after, and
-those have returned to each other. Runs of zero level-1 detail reveal sticking, and bounds impossible readings.
-
-A source is judged by its distinct readings. Deliveries of the same reading are folded together on the map side before the shuffle,
-and verdicts are joined back to all rows on the reading, so a source delivered over and over stays small in its task; a source's group is
-bounded by its times and corrected readings.
+Method: each source's log values, one per time, are decomposed by an undecimated Haar wavelet transform, whose finest detail is the
+change from one time to the next. Detail coefficients are scaled robustly, by the median absolute coefficient of the source. A spike is
+a pair of coefficients beyond ``DETAIL`` scales and of opposite signs, at most ``LONGEST`` times apart, whose sum (the coarser detail
+across the pair) all but vanishes: the series is back where it was. A single coefficient is a step, which persists, and is no spike.
+Runs of zero detail reveal sticking, and bounds impossible readings.
+
+A source is judged by its distinct readings. Deliveries of the same reading are folded together on the map side before the shuffle, with
+the rows of the least and the greatest delivery; only a flagged reading that came more than twice is looked up again in all rows.
+So a source delivered over and over stays small in its task; a source's group is bounded by its times and corrected readings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from quoin.operators.runs import co_sorted, floats, ints, key_runs
+from quoin.session import cut
 
-#: Candidates: detail coefficients beyond so many robust scales, at so many dyadic levels.
-DETAIL, LEVELS = 5.0, 3
-#: Days before and after that a value is held against, and the longest spike in days.
-AROUND, LONGEST = 5, 3
+#: Robust scales from which a detail coefficient is out of proportion; the longest spike in times; what may be left of a spike after its return.
+DETAIL, LONGEST, RETURN = 6.5, 3, 0.5
+#: Times around a reading that its windows can touch.
+AROUND = 2 * (LONGEST + 1)
 MAD = 1.4826  # of a normal distribution
+#: Flagged readings delivered more than twice that are broadcast at most; beyond, the join is by shuffle.
+BROADCAST = 50_000
 
 
 @dataclass(frozen=True)
 class Rules:
-    """``spiky``: measure -> (robust scales, least log deviation) beyond which a value is out of proportion. ``sticky``: measures that
-    must not repeat ``run`` times or more while ``active`` is positive. ``positive``, ``nonnegative``: bounds. ``within``: (value, low, high)."""
+    """``spiky``: measures with spikes. ``sticky``: measures that must not repeat ``run`` times or more while ``active`` is positive. ``positive``,
+    ``nonnegative``: bounds. ``within``: (value, low, high)."""
 
-    spiky: Mapping[str, tuple[float, float]]
+    spiky: Sequence[str]
     sticky: Sequence[str] = ()
     active: str | None = None
     run: int = 5
@@ -62,33 +67,27 @@ def scale(detail: np.ndarray, tiny: float = 1e-12) -> float:
     return float(MAD * np.median(moved)) if len(moved) else 0.0
 
 
-def candidates(x: np.ndarray) -> np.ndarray:
-    """Positions under a detail coefficient beyond DETAIL scales of its level."""
-    marked = np.zeros(len(x), dtype=bool)
-    for level in range(1, LEVELS + 1):
-        size = 1 << level
-        if len(x) < size:
-            break
-        d = details(x, level)
-        for at in np.flatnonzero(np.abs(d) > DETAIL * scale(d)):
-            marked[at : at + size] = True
-    return marked
-
-
-def is_spike(value: float, before: np.ndarray, after: np.ndarray, limit: float) -> bool:
-    """Whether ``value`` departs by more than ``limit``, and its surroundings have returned."""
-    if not len(before) or not len(after):
-        return False
-    b, a = value - float(np.median(before)), value - float(np.median(after))
-    if min(abs(b), abs(a)) > limit and (b > 0) == (a > 0):
-        return True
-    # beside a lasting move one of the medians is of the other level: the value must be back within LONGEST days
-    back = np.abs(after[:LONGEST] - np.median(before)).min() < limit / 2
-    came = np.abs(before[-LONGEST:] - np.median(after)).min() < limit / 2
-    return bool((abs(b) > limit and back) or (abs(a) > limit and came))
-
-
-def _spikes(days: np.ndarray, last: np.ndarray, values: np.ndarray, factor: float, floor: float) -> np.ndarray:
+def returning(x: np.ndarray, limit: float) -> np.ndarray:
+    """Positions of spikes in the series ``x``: within a pair of opposite details beyond ``limit`` that cancel each other, the values beyond ``limit``
+    of both borders. Wide pairs come first; a border within a spike is none, for a right value between two spikes is no spike."""
+    n = len(x)
+    out = np.zeros(n, dtype=bool)
+    detail = details(x, 1)  # detail[i] leads from i to i + 1
+    for width in range(min(LONGEST, n - 2), 0, -1):
+        up, down = detail[: n - 1 - width], detail[width:]
+        least = np.minimum(np.abs(up), np.abs(down))
+        rest = np.abs(x[1 + width :] - x[: n - 1 - width])  # the sum of the details across
+        pair = (least > limit) & (np.sign(up) == -np.sign(down)) & (rest <= RETURN * least) & ~out[: n - 1 - width] & ~out[1 + width :]
+        begin = np.flatnonzero(pair) + 1
+        sign = np.sign(detail[begin - 1])
+        for k in range(width):
+            at = begin + k
+            beyond = np.minimum(sign * (x[at] - x[begin - 1]), sign * (x[at] - x[begin + width])) > limit
+            out[at[beyond]] = True
+    return out
+
+
+def _spikes(days: np.ndarray, last: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Rows whose value is a spike. ``last``: the row that counts for each day, in day order."""
     out = np.zeros(len(values), dtype=bool)
     ok = values > 0
@@ -96,27 +95,17 @@ def _spikes(days: np.ndarray, last: np.ndarray, values: np.ndarray, factor: floa
     if len(kept) < 4:
         return out
     x, day = np.log(values[kept]), days[kept]
-    limit = max(floor, factor * scale(details(x, 1)))
-    marked = np.zeros(len(values), dtype=bool)
-    marked[kept] = candidates(x)
-    low = np.searchsorted(day, days, "left")
-    high = np.searchsorted(day, days, "right")
-    own = np.flatnonzero(ok & (np.arange(len(values)) != _of_day(kept, low, high, len(values))))
-    if len(own):  # other readings of a day: their details differ from the day's by their own departure
-        at = np.minimum(low[own], len(x) - 1)
-        marked[own] |= (low[own] == high[own]) | (np.abs(np.log(values[own]) - x[at]) > limit / 2) | marked[kept[at]]
-    for i in np.flatnonzero(marked & ok):
-        out[i] = is_spike(float(np.log(values[i])), x[max(0, low[i] - AROUND) : low[i]], x[high[i] : high[i] + AROUND], limit)
+    limit = max(DETAIL * scale(details(x, 1)), 1e-9)
+    out[kept] = returning(x, limit)
+    own = ok.copy()
+    own[kept] = False
+    for i in np.flatnonzero(own):  # other readings of a day stand in its place
+        low, high = int(np.searchsorted(day, days[i], "left")), int(np.searchsorted(day, days[i], "right"))
+        first = max(0, low - AROUND)
+        out[i] = returning(np.concatenate([x[first:low], [np.log(values[i])], x[high : high + AROUND]]), limit)[low - first]
     return out
 
 
-def _of_day(kept: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
-    row = np.full(n, -1)
-    there = high > low
-    row[there] = kept[low[there]]
-    return row
-
-
 def _stuck(days: np.ndarray, picks: Sequence[np.ndarray], values: np.ndarray, active: np.ndarray, run: int) -> np.ndarray:
     """Rows in runs of ``run`` or more days of one value, but for the first day; a day without activity ends a run."""
     out = np.zeros(len(values), dtype=bool)
@@ -157,15 +146,15 @@ def _judge(keys: Sequence[str], measures: Sequence[str], rules: Rules, schema: p
                     new = np.flatnonzero(np.diff(days)) + 1
                     first, last = np.concatenate([[0], new]), np.concatenate([new, [len(days)]]) - 1
                     values = {m: v[begin:end] for m, v in all_values.items()}
-                    for m, (factor, floor) in rules.spiky.items():
-                        note(begin + np.flatnonzero(_spikes(days, last, values[m], factor, floor)), f"spike:{m}")
+                    for m in rules.spiky:
+                        note(begin + np.flatnonzero(_spikes(days, last, values[m])), f"spike:{m}")
                     active = values[rules.active] if rules.active else np.ones(len(days))
                     picks = [last] if np.array_equal(first, last) else [last, first]
                     for m in rules.sticky:
                         note(begin + np.flatnonzero(_stuck(days, picks, values[m], active, rules.run)), f"stuck:{m}")
             if reasons:
                 rows = sorted(reasons)
-                out = table.select([*keys, "at", *measures]).take(pa.array(rows, pa.int64())).columns
+                out = table.select([*keys, "at", *measures, "n", "least", "most"]).take(pa.array(rows, pa.int64())).columns
                 yield from pa.Table.from_arrays([*out, pa.array([reasons[i] for i in rows], pa.list_(pa.string()))], schema=schema).combine_chunks().to_batches()
 
     return task
@@ -178,11 +167,10 @@ def implausible(df: DataFrame, keys: Sequence[str], time: str, required: str, ve
     Only rows with non-null keys, ``time`` and ``required`` measure are judged, against each other. Of the readings of one time, the last by
     ``version`` stands for it in the surroundings of others; every reading is judged by its own values, and each row with that reading
     gets the verdict. Null and NaN measures give no verdict. Values that are not positive are no part of the log series. A source
-    of fewer than four values has no spikes; the first and last day cannot be spikes, for nothing shows a return. A constant source has no scale, so its
-    least deviation alone decides. Extra columns are ignored.
+    of fewer than four values has no spikes; the first and last day cannot be spikes, for nothing shows a return. The scale is that of the
+    changes that are not zero, so a source that never moves but for one spike has no other behaviour to tell it from. Repeated rows all come
+    out; ``carry`` columns may be null, and extra columns are ignored. An empty table gives an empty result.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     measures = rules.measures()
     rows = df
     for c in (*keys, time):
@@ -190,13 +178,24 @@ def implausible(df: DataFrame, keys: Sequence[str], time: str, required: str, ve
     clean = {m: F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")) for m in measures}
     rows = rows.select(*keys, F.col(time).alias("at"), *(clean[m].alias(m) for m in measures), F.struct(*version).alias("version"), F.struct(*carry).alias("carried"))
     rows = rows.where(F.col(required).isNotNull())
-    readings = rows.groupBy(*keys, "at", *measures).agg(F.max("version").alias("version"))
-    schema = StructType([readings.schema[c] for c in (*keys, "at")] + [StructField(m, DoubleType()) for m in measures] + [StructField("reasons", ArrayType(StringType()))])
-    found = co_sorted(readings, list(keys), ["at", "version"]).mapInArrow(_judge(list(keys), measures, rules, to_arrow_schema(schema)), schema)
-    same = None
-    left, right = rows.drop("version").alias("l"), found.alias("r")
+    readings = rows.groupBy(*keys, "at", *measures).agg(F.max("version").alias("version"), F.count(F.lit(1)).alias("n"), F.min("carried").alias("least"), F.max("carried").alias("most"))
+    schema = StructType([readings.schema[c] for c in (*keys, "at")] + [StructField(m, DoubleType()) for m in measures] + [readings.schema[c] for c in ("n", "least", "most")] + [StructField("reasons", ArrayType(StringType()))])
+    task = _judge(list(keys), measures, rules, to_arrow_schema(schema))
+    found = cut(co_sorted(readings, list(keys), ["at", "version"]).mapInArrow(task, schema))  # the flagged readings alone, read twice below
+    few = found.where("n <= 2").withColumn("carried", F.explode(F.when(F.col("n") == 1, F.array("least")).otherwise(F.array("least", "most"))))
+    out = few.select(*keys, F.col("at").alias(time), "carried.*", "reasons")
+    many = found.where("n > 2")
+    left = many.count()
+    if not left:
+        return out
+    right = many.drop("n", "least", "most")
+    if left <= BROADCAST:
+        right = F.broadcast(right)
+    same = F.lit(True)
+    l, r = rows.drop("version").alias("l"), right.alias("r")  # noqa: E741
     for c in (*keys, "at"):
-        same = F.col(f"l.{c}") == F.col(f"r.{c}") if same is None else same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
     for m in measures:
         same = same & F.col(f"l.{m}").eqNullSafe(F.col(f"r.{m}"))
-    return left.join(right, same).select(*(F.col(f"l.{c}").alias(c) for c in keys), F.col("l.at").alias(time), "l.carried.*", "r.reasons")
+    again = l.join(r, same).select(*(F.col(f"l.{c}").alias(c) for c in keys), F.col("l.at").alias(time), "l.carried.*", "r.reasons")
+    return out.unionByName(again)

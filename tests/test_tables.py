@@ -9,7 +9,7 @@ import pytest
 
 from quoin.operators.history import attribute_history
 from quoin.operators.regular import impute, regular_grid
-from quoin.operators.spikes import Rules, candidates, details, implausible
+from quoin.operators.spikes import Rules, details, implausible, returning, scale
 from quoin.operators.trailing import rolling
 from quoin.operators.wide import BLOCK, cells_of, wide_by_position
 
@@ -142,7 +142,7 @@ def test_grid_marks_what_it_fills(spark):
 
 
 # spikes
-RULES = Rules(spiky={"c": (9.0, 0.03), "v": (6.0, 3.4)}, sticky=("c",), active="v", positive=("c",), nonnegative=("v",), within=(("c", "lo", "hi"),))
+RULES = Rules(spiky=("c", "v"), sticky=("c",), active="v", positive=("c",), nonnegative=("v",), within=(("c", "lo", "hi"),))
 SPIKES = "k string, day date, c double, lo double, hi double, v long, ver string, id long, at string, reasons string"
 
 
@@ -207,4 +207,28 @@ def test_impossible_readings_nulls_and_empty(spark):
 def test_details_see_a_step_at_its_place():
     x = np.array([0.0] * 10 + [1.0] * 10)
     assert np.flatnonzero(details(x, 1)).tolist() == [9]
-    assert not candidates(np.zeros(3)).any()
+    assert not returning(np.zeros(3), 0.1).any() and not returning(x, 0.1).any() and scale(np.zeros(4)) == 0.0
+
+
+def test_the_pair_of_details_decides(spark, monkeypatch):
+    x = np.zeros(20)
+    x[8], x[10] = 3.0, 3.0  # two spikes with a right value between them
+    assert np.flatnonzero(returning(x, 1.0)).tolist() == [8, 10]
+    x[9] = 2.5
+    assert np.flatnonzero(returning(x, 1.0)).tolist() == [8, 9, 10]
+    rows = series()
+    rows[20][2] *= 1.4
+    monkeypatch.setattr("quoin.operators.spikes.details", lambda x, level: np.zeros(len(x) - 1))  # no transform, no spike
+    from quoin.operators.spikes import _spikes
+
+    assert not _spikes(np.arange(80), np.arange(80), np.array([r[2] for r in rows])).any()
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_every_delivery_of_a_reading_comes_out(spark, monkeypatch, most):
+    monkeypatch.setattr("quoin.operators.spikes.BROADCAST", most)
+    rows = series()
+    rows[20][2] *= 1.4
+    rows[60][2] *= 1.4
+    rows += [list(rows[20]) for _ in range(4)] + [list(rows[60])]
+    assert flagged(spark, rows) == {i: ["spike:c"] for i in (20, 60, 80, 81, 82, 83, 84)}
