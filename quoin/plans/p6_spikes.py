@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.operators.spikes import DETAIL, MAD, Rules, implausible
+from quoin.operators.spikes import DETAIL, MAD, RETURN, Rules, implausible
 from quoin.session import table
 
 RULES = Rules(spiky=("close", "high", "low", "volume"), sticky=("close", "volume"), active="volume", positive=("high", "low", "close"), nonnegative=("volume",), within=(("close", "low", "high"),))
@@ -23,7 +23,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p6_found": p6_found, "p6_flags": p6_flags}
 
 # The definition, told another way: a value is out of proportion if it departs, on the same side, from the median of the five days before and
-# from that of the five days after by more than the scales.
+# from that of the five days after by more than the scales, and those two are back at each other.
 _SERIES = f"""b AS (SELECT record_id, security_id AS k, provider_name AS p, trade_date AS day, close, high, low, volume::DOUBLE AS volume, data_version, ingested_at FROM bronze_market WHERE close IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY k, p, day ORDER BY data_version DESC, ingested_at DESC, record_id DESC) AS from_last,
   row_number() OVER (PARTITION BY k, p, day ORDER BY data_version, ingested_at, record_id) AS from_first FROM b),
@@ -32,7 +32,7 @@ x AS (SELECT k, p, m, day, ln(v) AS x, ln(v) - lag(ln(v)) OVER (PARTITION BY k,
 s AS (SELECT k, p, m, list(x ORDER BY day) AS xs, list(day ORDER BY day) AS ds, {DETAIL} * {MAD} * median(abs(d)) FILTER (WHERE abs(d) > 1e-12) AS t FROM x GROUP BY k, p, m),
 n AS (SELECT v.record_id, v.m, ln(v.v) AS x, xs, t, len(list_filter(ds, lambda e: e < v.day)) AS before, len(list_filter(ds, lambda e: e <= v.day)) AS upto FROM v JOIN s USING (k, p, m) WHERE v.v > 0),
 w AS (SELECT record_id, m, t, x - list_aggregate(xs[greatest(before - 4, 1):before], 'median') AS a, x - list_aggregate(xs[upto + 1:upto + 5], 'median') AS c FROM n),
-spike AS (SELECT record_id, 'spike:' || m AS why FROM w WHERE least(abs(a), abs(c)) > t AND sign(a) = sign(c)),
+spike AS (SELECT record_id, 'spike:' || m AS why FROM w WHERE least(abs(a), abs(c)) > t AND sign(a) = sign(c) AND abs(a - c) <= {RETURN} * least(abs(a), abs(c))),
 bad AS (SELECT record_id, 'impossible' AS why FROM b WHERE high <= 0 OR low <= 0 OR close <= 0 OR volume < 0 OR close < low OR close > high)"""
 
 
