@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY, DATE = "security_id", "date"
@@ -47,29 +47,32 @@ def grid(c: str | Column, places: int = 6, half: float = 0.5) -> Column:
     return F.floor(value * scale + half).cast("double") / scale
 
 
+def by_date(df: DataFrame) -> DataFrame:
+    """``df`` laid out by date, for cross-sections: every window by date, or by date and more, then runs where the rows lie."""
+    return df.repartition(DATE)
+
+
 def pct_rank(c: str | Column, *by: str, mask: Column | None = None) -> Column:
-    """Percentile rank with average ties among the non-null (and ``mask``ed) rows of each group; null elsewhere."""
-    ok = col(c).isNotNull() if mask is None else col(c).isNotNull() & mask
-    value = F.when(ok, col(c))
-    group = Window.partitionBy(*by, ok)
-    first = F.rank().over(group.orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, ok, value))
-    return F.when(ok, (first + (ties - 1) / 2.0) / F.count(F.lit(1)).over(group))
+    """Percentile rank with average ties among the non-null (and ``mask``ed) rows of each group; null elsewhere. Groups are those of ``by``
+    alone, whatever the column: all ranks of a panel share one layout."""
+    value = F.when(col(c).isNotNull() if mask is None else col(c).isNotNull() & mask, col(c))
+    group = Window.partitionBy(*by)
+    order = group.orderBy(value.asc_nulls_last())
+    ties = F.count(value).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(value.isNotNull(), (F.rank().over(order) + (ties - 1) / 2.0) / F.count(value).over(group))
 
 
 def pct_rank_first(c: str | Column, *by: str, ties: str = KEY) -> Column:
     """Percentile rank with ties in the order of ``ties``."""
-    ok = col(c).isNotNull()
-    group = Window.partitionBy(*by, ok)
-    return F.when(ok, F.row_number().over(group.orderBy(col(c), ties)) / F.count(F.lit(1)).over(group))
+    group = Window.partitionBy(*by)
+    return F.when(col(c).isNotNull(), F.row_number().over(group.orderBy(col(c).asc_nulls_last(), ties)) / F.count(col(c)).over(group))
 
 
 def quantile_bucket(c: str | Column, buckets: int, *by: str, ties: str = KEY) -> Column:
     """Equal-width buckets of the ranks 1..n, 0-based; null in groups under ``buckets`` values. Not ntile, which fills from the front."""
-    ok = col(c).isNotNull()
-    group = Window.partitionBy(*by, ok)
-    n, r = F.count(F.lit(1)).over(group), F.row_number().over(group.orderBy(col(c), ties))
-    return F.when(ok & (n >= buckets), F.greatest(F.ceil(buckets * (r - 1) / F.nullif(n - 1, F.lit(0))) - 1, F.lit(0)).cast("int"))
+    group = Window.partitionBy(*by)
+    n, r = F.count(col(c)).over(group), F.row_number().over(group.orderBy(col(c).asc_nulls_last(), ties))
+    return F.when(col(c).isNotNull() & (n >= buckets), F.greatest(F.ceil(buckets * (r - 1) / F.nullif(n - 1, F.lit(0))) - 1, F.lit(0)).cast("int"))
 
 
 def guarded_corr(a: str, b: str) -> Column:

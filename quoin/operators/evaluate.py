@@ -17,12 +17,18 @@ GAMMA = 0.5772156649015329  # Euler's constant
 
 
 def daily_ic(scored: DataFrame, prediction: str, label: str, *by: str) -> DataFrame:
-    """ic and rank_ic of every date (and ``by``): Pearson on values, and on average ranks within the date."""
+    """ic and rank_ic of every date (and ``by``): Pearson on values, and on average ranks within the date. Rows laid out by date stay there."""
     both = F.col(prediction).isNotNull() & F.col(label).isNotNull()
     ranks = {"rp_": pct_rank(prediction, "date", *by, mask=both), "rl_": pct_rank(label, "date", *by, mask=both)}
     return scored.withColumns(ranks).groupBy("date", *by).agg(guarded_corr(prediction, label).alias("ic"), guarded_corr("rp_", "rl_").alias("rank_ic"), F.count_if(both).alias("pairs"))
 
 
+def unpivoted(panel: DataFrame, scores: Sequence[str], keep: Sequence[str], name: str = "hypothesis", value: str = "prediction") -> DataFrame:
+    """One row per row of ``panel`` and score: ``keep``, the score's name and its value. Rows stay where they lie."""
+    cells = F.array(*(F.struct(F.lit(s).alias(name), F.col(s).cast("double").alias(value)) for s in scores))
+    return panel.select(*keep, F.explode(cells).alias("c_")).select(*keep, f"c_.{name}", f"c_.{value}")
+
+
 def regimes(benchmark: DataFrame, lookback: int = 63) -> DataFrame:
     """risk_on or risk_off per date, by the sign of the benchmark's return over ``lookback`` sessions; risk_on before there is one."""
     order = Window.orderBy("trade_date")  # one row a day

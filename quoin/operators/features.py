@@ -1,7 +1,7 @@
 """The 92 registered panel features, as column expressions in three stages: windows by security, point-in-time fundamentals, ranks by date.
 
-Every window of a stage shares one specification, so Spark sorts once by security and once by date; a query that asks for few
-features prunes the rest.
+Rows move twice in all: by security for the first two stages, by date for the third. The windows by security share one order; each rank
+sorts its date's rows by its own column. A query that asks for few features prunes the rest.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from math import log as ln
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.functions.expr import col, div, lag, log, pct_rank, roll
+from quoin.functions.expr import by_date, col, div, lag, log, pct_rank, roll
 
 RETURNS, MOMENTA, REVERSALS, RELATIVE = (1, 2, 3, 5, 10, 21, 63, 126, 252), (5, 10, 21, 63, 126, 252), (1, 2, 5), (5, 21, 63)
 YEAR = 252
@@ -115,8 +115,17 @@ def with_price_features(market: DataFrame, benchmark: DataFrame) -> DataFrame:
     return staged.withColumns({f"ex_bench_{k}": F.col(f"ret_{k}") - F.col(f"bench_ret_{k}") for k in RELATIVE})
 
 
+def with_membership(panel: DataFrame, universe: DataFrame) -> DataFrame:
+    """``panel``, laid out by date, with in_universe: whether ``universe`` (date, security_id, is_in_universe; repeats and contradictions count as in) has
+    the row inside; null where it has none. Both go through one exchange by date, and a window stands in for the join."""
+    marks = universe.select("date", "security_id", F.col("is_in_universe").alias("in_"), F.lit(False).alias("own_"))
+    both = by_date(panel.withColumns({"in_": F.lit(None).cast("boolean"), "own_": F.lit(True)}).unionByName(marks, allowMissingColumns=True))
+    return both.withColumn("in_universe", F.bool_or("in_").over(Window.partitionBy("date", "security_id"))).where("own_").drop("in_", "own_")
+
+
 def with_ranks(panel: DataFrame) -> DataFrame:
-    """Cross-sections by date, among rows with in_universe; sector medians over all rows, null sector a group of its own."""
+    """Cross-sections by date, among rows with in_universe; sector medians over all rows, null sector a group of its own. ``panel`` should be laid
+    out by date, as with_membership leaves it."""
     inside = F.coalesce("in_universe", F.lit(False))
     ranks = {f"cs_rank_{c}": pct_rank(c, "date", mask=inside) for c in RANKED} | {"liquidity_rank_20": pct_rank("adv20", "date", mask=inside)}
     ranks |= {f"sector_rank_{c}": pct_rank(c, "date", "sector", mask=inside) for c in SECTOR_RANKED}
@@ -143,8 +152,11 @@ def with_interactions(panel: DataFrame, cap: int = 25) -> DataFrame:
 
 
 def latest_filing(facts: DataFrame, known: str = "available_from") -> DataFrame:
-    """Facts of any metric, as one pseudo metric, for an as-of join to the last filing."""
-    return facts.select("security_id", F.lit("any_filing").alias("metric_name"), F.lit(1.0).alias("metric_value"), known, F.lit(None).cast("timestamp_ntz").alias("available_to")).distinct()
+    """Each fact twice, as itself and as one of a pseudo metric "any_filing" that never ends, for an as-of join to the last filing. One scan."""
+    names = F.explode(F.array("metric_name", F.lit("any_filing"))).alias("name_")
+    both = facts.select("security_id", "metric_name", "metric_value", known, "available_to", names)
+    any_ = F.col("name_") == "any_filing"
+    return both.select("security_id", F.col("name_").alias("metric_name"), F.when(any_, 1.0).otherwise(F.col("metric_value")).alias("metric_value"), known, F.when(~any_, F.col("available_to")).alias("available_to"))
 
 
-__all__ = ["FAMILIES", "METRICS", "REGISTERED", "latest_filing", "with_fundamentals", "with_interactions", "with_price_features", "with_ranks"]
+__all__ = ["FAMILIES", "METRICS", "REGISTERED", "latest_filing", "with_fundamentals", "with_interactions", "with_membership", "with_price_features", "with_ranks"]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.functions.expr import div, lag, pct_rank, quantile_bucket
+from quoin.functions.expr import by_date, div, lag, pct_rank, quantile_bucket
 
 HORIZONS = (1, 5, 10, 20)
 
@@ -27,11 +27,12 @@ def residual(panel: DataFrame, y: str, beta: str, out: str) -> DataFrame:
 
 def forward_labels(panel: DataFrame, benchmark: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """``panel`` (security_id, date, open, sector, beta_estimate) with label_raw, label_excess, label_resid, label_binary and label_multiclass
-    per horizon h. Leads count rows of the security; a label is null where its rows are missing."""
+    per horizon h. Leads count rows of the security; a label is null where its rows are missing. The result is laid out by date."""
     days = Window.orderBy("trade_date")  # one row a day
     bench = benchmark.select(F.col("trade_date").alias("date"), *((div(F.lead("open", h + 1).over(days), F.lead("open", 1).over(days)) - 1).alias(f"b_{h}") for h in horizons))
     out = panel.withColumns({f"label_raw_{h}d_oo": div(lag("open", -(h + 1)), lag("open", -1)) - 1 for h in horizons}).join(bench, "date", "left")
     out = out.withColumns({f"label_excess_{h}d_oo": F.col(f"label_raw_{h}d_oo") - F.col(f"b_{h}") for h in horizons}).drop(*(f"b_{h}" for h in horizons))
+    out = by_date(out)
     for h in horizons:
         out = residual(out, f"label_excess_{h}d_oo", "beta_estimate", f"label_resid_{h}d_oo")
     ranks = {h: pct_rank(f"label_excess_{h}d_oo", "date") for h in horizons}
@@ -46,9 +47,10 @@ def sanity(panel: DataFrame, labels: Sequence[str]) -> DataFrame:
     return one.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def gold(features: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Features left-joined with labels, with row_valid_flag and the first reason a row is dropped for."""
-    out = features.join(labels, ["date", "security_id"], "left")
+def gold(features: DataFrame, labels: DataFrame | None, label: str) -> DataFrame:
+    """Features left-joined with ``labels``, with row_valid_flag and the first reason a row is dropped for. Without ``labels`` the features have
+    the label already, as they do where both were made on one panel, and nothing is joined."""
+    out = features if labels is None else features.join(labels, ["date", "security_id"], "left")
     inside = F.coalesce("in_universe", F.lit(False))
     reason = F.when(~inside, "not_in_universe").when(F.col(label).isNull(), "missing_label")
     return out.withColumns({"row_valid_flag": inside & F.col(label).isNotNull(), "row_drop_reason": reason})

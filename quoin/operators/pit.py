@@ -17,12 +17,13 @@ def build_intervals(facts: DataFrame, keys: Sequence[str], known: str) -> DataFr
 def asof_metrics(panel: DataFrame, facts: DataFrame, key: str, as_of: str, metrics: Sequence[str], *, metric: str, value: str, known: str, until: str) -> DataFrame:
     """Each panel row with, per metric m, m, source_available_from__m and staleness_days__m of the latest fact known at ``as_of`` (an
     exact match counts); all null where there is none or it has ended by then. The newest fact decides, even if an older one still runs.
-    A null value of that fact stays null with its source. Panel columns must not be named like the result's."""
+    A null value of that fact stays null with its source. Panel columns must not be named like the result's. Panel and facts go through one
+    exchange, and the result is laid out by ``key``: exact duplicates of panel rows come out as such and can be dropped there."""
     own = [c for c in panel.columns if c != key]
     fact = F.struct(F.col(known).alias("known"), F.col(until).alias("until"), F.col(value).alias("value"))
     left = panel.select(key, F.struct(*own).alias("row"), F.col(as_of).alias("t"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("m"))
     right = facts.where(F.col(metric).isin(list(metrics)) & F.col(known).isNotNull()).select(key, F.col(known).alias("t"), F.lit(0).alias("side"), F.col(metric).alias("m"), fact.alias("fact"))
-    both = left.unionByName(right, allowMissingColumns=True)
+    both = left.unionByName(right, allowMissingColumns=True).repartition(key)
     order = Window.partitionBy(key).orderBy("t", "side", F.col("fact.until").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     latest = [F.last(F.when(F.col("m") == m, F.col("fact")), ignorenulls=True).over(order).alias(f"f_{m}") for m in metrics]
     found = both.select(key, "row", "t", "side", *latest).where("side = 1")

@@ -9,9 +9,15 @@ from quoin.functions.text import tidy
 from quoin.session import table
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """silver_market with its exact duplicates."""
     columns = ("open", "high", "low", "close", "volume", "dollar_volume")
-    return table(spark, sf_dir, "silver_market").select("security_id", F.col("trade_date").alias("date"), *columns).distinct()
+    return table(spark, sf_dir, "silver_market").select("security_id", F.col("trade_date").alias("date"), *columns)
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of silver_market once. Rows move by security before copies are dropped, so that all windows by security run where they lie."""
+    return market_rows(spark, sf_dir).repartition("security_id").distinct()
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:

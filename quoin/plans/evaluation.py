@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin.functions.expr import grid, pct_rank_first, quantile_bucket
-from quoin.operators.evaluate import aum_returns, correlation_matrix, daily_ic, decay, deltas, equity_curve, fdr, fold_stability, moments, regimes, sensitivity, sharpe
+from quoin.operators.evaluate import aum_returns, correlation_matrix, daily_ic, decay, deltas, equity_curve, fdr, fold_stability, moments, regimes, sensitivity, sharpe, unpivoted
 from quoin.operators.labels import forward_labels
 from quoin.operators.models import BoostedStumps, blend_score, decile, elastic_net, gram, momentum_score, random_score, rank_target, reversal_score, ridge
 from quoin.operators.splits import WalkForward, fold_roles, fold_summary, overlapping
@@ -14,7 +14,7 @@ from quoin.plans.base import benchmark, calendar, grid_sql, sectors, universe
 from quoin.plans.features import FUND_CTE
 from quoin.plans.labels import LABEL_CTE, TRAIN_END, feature_base
 from quoin.plans.features import pit_panel
-from quoin.operators.features import with_fundamentals
+from quoin.operators.features import with_fundamentals, with_price_features
 from quoin.session import cut
 
 #: Steps of the test's length, so that every month after the first training and validation is tested once.
@@ -48,9 +48,8 @@ def fold_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # models
 def score_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = feature_base(spark, sf_dir)
-    ratios = with_fundamentals(pit_panel(spark, sf_dir)).select("security_id", "date", "book_to_price")
-    rows = base.join(ratios, ["security_id", "date"])
+    base = with_price_features(with_fundamentals(pit_panel(spark, sf_dir)), benchmark(spark, sf_dir))
+    rows = base.select("security_id", "date", "mom_21_ex1", "rev_1", "book_to_price")
     scores = {"random": random_score(7), "reversal": reversal_score(), "momentum": momentum_score(), "blend": blend_score()}
     return _day(rows.select("security_id", "date", *(grid(c).alias(n) for n, c in scores.items())))
 
@@ -179,13 +178,9 @@ def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean rank IC of each price feature as a score, by year."""
-    rows = scored(spark, sf_dir)
-    out = None
-    for c in ("mom_21_ex1", "rev_1", "ret_5", "vol_21"):
-        one = daily_ic(rows, c, LABEL).groupBy(F.year("date").alias("year")).agg(F.avg("rank_ic").alias("score")).withColumn("hypothesis", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Mean rank IC of each price feature as a score, by year: one pass over the panel for all."""
+    long = unpivoted(scored(spark, sf_dir), ("mom_21_ex1", "rev_1", "ret_5", "vol_21"), ["date", LABEL])
+    return daily_ic(long, "prediction", LABEL, "hypothesis").groupBy("hypothesis", F.year("date").alias("year")).agg(F.avg("rank_ic").alias("score"))
 
 
 def hyper_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:

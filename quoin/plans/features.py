@@ -8,29 +8,28 @@ from pyspark.sql import functions as F
 from quoin.functions.expr import OFF_HALF, grid
 from quoin.operators.features import (
     FAMILIES, METRICS, MOMENTA, RANKED, REGISTERED, RELATIVE, RETURNS, REVERSALS, SECTOR_RANKED, YEAR,
-    latest_filing, with_fundamentals, with_interactions, with_price_features, with_ranks,
+    latest_filing, with_fundamentals, with_interactions, with_membership, with_price_features, with_ranks,
 )
 from quoin.operators.pit import asof_metrics
-from quoin.plans.base import BASE, benchmark, calendar, grid_sql, market, sectors, universe
+from quoin.plans.base import BASE, benchmark, calendar, grid_sql, market, market_rows, sectors
 from quoin.plans.facts import FACTS_SQL, metric_facts
+from quoin.session import table
 
 FLAGS = ("breakout_20d_up", "breakout_20d_down", "days_since_last_filing", *FAMILIES["staleness"])
 
 
-def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = with_price_features(market(spark, sf_dir), benchmark(spark, sf_dir))
-    return panel.join(sectors(spark, sf_dir), "security_id", "left").join(universe(spark, sf_dir), ["date", "security_id"], "left")
+def _ranked(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rows`` with price features, sector and cross-sections."""
+    panel = with_price_features(rows, benchmark(spark, sf_dir)).join(sectors(spark, sf_dir), "security_id", "left")
+    return with_ranks(with_membership(panel, table(spark, sf_dir, "universe_snapshot").select("date", "security_id", "is_in_universe")))
 
 
 def pit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market rows with the metrics known at each session's close and the sessions since the last filing."""
-    rows = market(spark, sf_dir)
     days = calendar(spark, sf_dir).select(F.col("session_date").alias("date"), F.col("close_utc").alias("as_of"), "session_no")
-    rows = rows.join(days, "date", "left")
-    facts = metric_facts(spark, sf_dir, "fact_id", "metric_value", "available_from", "available_to").where("available_to IS NULL OR available_to > available_from")
-    facts = facts.drop("value_type", "fact_id")
-    both = facts.unionByName(latest_filing(facts).select("metric_value", "available_from", "available_to", "security_id", "metric_name"), allowMissingColumns=True)
-    panel = asof_metrics(rows, both, "security_id", "as_of", [*METRICS, "any_filing"], metric="metric_name", value="metric_value", known="available_from", until="available_to")
+    rows = market_rows(spark, sf_dir).join(days, "date", "left")
+    facts = metric_facts(spark, sf_dir, "metric_value", "available_from", "available_to").where("available_to IS NULL OR available_to > available_from")
+    panel = asof_metrics(rows, latest_filing(facts), "security_id", "as_of", [*METRICS, "any_filing"], metric="metric_name", value="metric_value", known="available_from", until="available_to").distinct()
     # sessions from the filing's day to the row's: sessions up to the one less sessions before the other, less one
     numbers = calendar(spark, sf_dir).select(F.col("session_date").alias("s"), "session_no")
     following = F.coalesce(F.lead("s").over(Window.orderBy("s")), F.date_add("s", 1))
@@ -46,11 +45,8 @@ def pit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 92 features."""
-    own = ["security_id", "date"]
-    prices = with_ranks(price_panel(spark, sf_dir))
-    ratios = with_fundamentals(pit_panel(spark, sf_dir)).select(*own, *FAMILIES["fundamentals"], *FAMILIES["staleness"], "turnover_proxy_21")
-    return with_interactions(prices.join(ratios, own))
+    """All 92 features, in stages on the same rows: the facts known, ratios and prices where a security's rows lie, then ranks by date."""
+    return with_interactions(_ranked(with_fundamentals(pit_panel(spark, sf_dir)), spark, sf_dir))
 
 
 def _places(name: str) -> dict:
@@ -69,7 +65,7 @@ def _price_family(name: str):
 
 def feat_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks by date and by date and sector, and sector-relative returns."""
-    return _out(with_ranks(price_panel(spark, sf_dir)), SECTIONS)
+    return _out(_ranked(market(spark, sf_dir), spark, sf_dir), SECTIONS)
 
 
 def feat_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.functions.expr import grid
-from quoin.operators.features import with_price_features
+from quoin.functions.expr import by_date, grid
+from quoin.operators.features import with_membership, with_price_features
 from quoin.operators.labels import HORIZONS, forward_labels, gold, sanity
 from quoin.operators.preprocess import Winsorizer, beta_neutral, percentile_rank, robust_zscore, sector_neutral, zscore
-from quoin.plans.base import benchmark, grid_sql, market, sectors, universe
+from quoin.plans.base import benchmark, grid_sql, market, sectors
 from quoin.plans.features import PRICE_CTE
+from quoin.session import table
 
 CONTINUOUS = [f"label_{k}_{h}d_oo" for k in ("raw", "excess", "resid") for h in HORIZONS]
 CLASSES = [f"label_{k}_{h}d" for k in ("binary_top_bottom", "multiclass_quantile") for h in HORIZONS]
@@ -45,14 +46,14 @@ def label_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the gold panel by the reason they drop out for."""
-    features = feature_base(spark, sf_dir).select("security_id", "date").join(universe(spark, sf_dir), ["date", "security_id"], "left")
-    panel = gold(features, labels(spark, sf_dir).select("security_id", "date", "label_excess_5d_oo"), "label_excess_5d_oo")
+    own = labels(spark, sf_dir).select("security_id", "date", "label_excess_5d_oo")
+    panel = gold(with_membership(own, table(spark, sf_dir, "universe_snapshot")), None, "label_excess_5d_oo")
     return panel.groupBy("row_valid_flag", "row_drop_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _prepared(op):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        base = feature_base(spark, sf_dir).select("security_id", "date", "sector", "beta_estimate", "ret_5")
+        base = by_date(feature_base(spark, sf_dir).select("security_id", "date", "sector", "beta_estimate", "ret_5"))
         return _day(op(base).select("security_id", "date", grid("x").alias("x")))
 
     return query
