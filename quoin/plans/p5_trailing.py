@@ -4,33 +4,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin.operators.trailing import rolling
-from quoin.session import table, width
+from quoin.session import table
 
 #: Sessions of universe_snapshot.adv20_usd_t, and its tolerance.
 SESSIONS, TOLERANCE = 20, 0.01
 
 
 def _market(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """silver_market without exact duplicates; a security has one row a session."""
-    return table(spark, sf_dir, "silver_market").select("security_id", "trade_date", *columns).distinct()
+    """silver_market without exact duplicates, by security; a security has one row a session."""
+    return table(spark, sf_dir, "silver_market").select("security_id", "trade_date", *columns).repartition("security_id").distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market rows and claims go through one exchange by security; a claim waits on the grid row of its session until the window has passed."""
     sessions = table(spark, sf_dir, "trading_calendar").select("session_date", "session_no")
-    totals = rolling(_market(spark, sf_dir, "dollar_volume"), ["security_id"], "trade_date", sessions, "session_date", "session_no", {"dollar_volume": [SESSIONS]})
+    following = F.lead("session_date").over(Window.orderBy("session_no"))  # 752 rows, fixed
+    spans = sessions.select("session_date", F.coalesce(F.date_sub(following, 1), F.col("session_date")).alias("until"))
+    days = spans.select(F.col("session_date").alias("at"), F.explode(F.sequence("session_date", "until")).alias("date"))
+    first, last = sessions.agg(F.min("session_date"), F.max("session_date")).first()
     claims = table(spark, sf_dir, "universe_snapshot").where("adv20_usd_t IS NOT NULL").select("security_id", "date", "adv20_usd_t")
-    # the last session on or before each day of the calendar's span and the month after
-    following = F.coalesce(F.lead("session_date").over(Window.orderBy("session_no")), F.date_add("session_date", 32))  # 752 rows, fixed
-    spans = sessions.select("session_no", "session_date", F.date_sub(following, 1).alias("until"))
-    days = spans.select("session_no", F.explode(F.sequence("session_date", "until")).alias("date"))
-    claims = claims.join(days, "date", "left").withColumn("day_no", F.coalesce("session_no", F.lit(0)))
-    # both sides lie by security already, so the join moves neither
-    claims = claims.repartition(width(spark), "security_id")
-    totals = totals.select("security_id", "day_no", "dollar_volume_sum_20")
-    joined = claims.join(totals, ["security_id", "day_no"], "left")
-    true = F.coalesce("dollar_volume_sum_20", F.lit(0.0)) / SESSIONS
-    wrong = joined.where(F.abs(F.col("adv20_usd_t") - true) > TOLERANCE * F.abs(true))
-    return wrong.select("security_id", F.date_format("date", "yyyy-MM-dd").alias("snapshot_day")).distinct()
+    # the last session on or before the claim's day
+    placed = claims.join(days, "date", "left").withColumn("at", F.when(F.col("date") > F.lit(last), F.lit(last)).otherwise(F.col("at")))
+    market = table(spark, sf_dir, "silver_market").select("security_id", F.col("trade_date").alias("at"), "dollar_volume")
+    rows = market.unionByName(placed, allowMissingColumns=True).repartition("security_id").distinct()
+    # of several claims for a day the least and the greatest tell whether one is wrong
+    daily = rows.groupBy("security_id", "at", "date").agg(F.sum("dollar_volume").alias("dollar_volume"), F.min("adv20_usd_t").alias("low"), F.max("adv20_usd_t").alias("high"))
+    claimed = F.collect_list(F.when(F.col("date").isNotNull(), F.struct("date", "low", "high")))
+    totals = rolling(daily, ["security_id"], "at", sessions, "session_date", "session_no", {"dollar_volume": [SESSIONS]}, {"claims": claimed})
+    checked = totals.select("security_id", (F.col(f"dollar_volume_sum_{SESSIONS}") / SESSIONS).alias("true"), F.explode("claims").alias("c")).select("security_id", "true", "c.*")
+    off = lambda c: F.abs(F.col(c) - F.col("true")) > TOLERANCE * F.abs("true")
+    wrong = checked.where(off("low") | off("high")).select("security_id", "date")
+    # before the first session nothing was traded
+    early = claims.where((F.lit(first).isNull() | (F.col("date") < F.lit(first))) & (F.col("adv20_usd_t") != 0)).select("security_id", "date").distinct()
+    return wrong.unionByName(early).select("security_id", F.date_format("date", "yyyy-MM-dd").alias("snapshot_day"))
 
 
 def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:

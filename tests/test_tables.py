@@ -232,3 +232,15 @@ def test_every_delivery_of_a_reading_comes_out(spark, monkeypatch, most):
     rows[60][2] *= 1.4
     rows += [list(rows[20]) for _ in range(4)] + [list(rows[60])]
     assert flagged(spark, rows) == {i: ["spike:c"] for i in (20, 60, 80, 81, 82, 83, 84)}
+
+
+def test_claims_long_after_and_before_the_calendar(spark, tmp_path):
+    from quoin.plans.p5_trailing import p5_found
+
+    cal = [(day(i), i + 1) for i in range(30)]
+    spark.createDataFrame(cal, "session_date date, session_no int").write.parquet(f"{tmp_path}/trading_calendar.parquet")
+    spark.createDataFrame([("a", day(i), 20.0) for i in range(30)], "security_id string, trade_date date, dollar_volume double").write.parquet(f"{tmp_path}/silver_market.parquet")
+    claims = [("a", day(29), 20.0), ("a", day(200), 20.0), ("a", day(201), 30.0), ("a", day(-3), 0.0), ("a", day(-4), 1.0), ("a", day(0), 1.0), ("a", day(1), 1.0), ("b", day(5), 2.0), ("b", day(6), 0.0), ("a", day(29), 20.0)]
+    spark.createDataFrame(claims, "security_id string, date date, adv20_usd_t double").write.parquet(f"{tmp_path}/universe_snapshot.parquet")
+    got = sorted(tuple(r) for r in p5_found(spark, str(tmp_path)).collect())
+    assert got == sorted([("a", str(day(201))), ("a", str(day(-4))), ("a", str(day(1))), ("b", str(day(5)))])
