@@ -1,11 +1,11 @@
 """Mixing sources to target weights.
 
-Method: soft-membership mixing. A naive-Bayes classifier over the tokens and token pairs that a text has, fitted on every labelled document
-(counts are summed distributedly into a table of sources x ``BUCKETS``), predicts each document's posteriors over the sources. Nonnegative
-document rates, at most max_repeats, are fitted by projected-gradient least squares: the expected tokens per source, both by label and by
-posterior, are to match the targets. Where the two disagree the labels' targets are what must come out, so further passes follow on
-those alone. A pass over the documents yields the totals; only those, a few numbers per mix and source, reach the driver, and a document's
-rate is replayed from the totals of the passes before, so no state is kept between passes.
+Method: soft-membership mixing. A document's membership in the sources is their posterior given all that is known of it: the label where it has
+one, else what a classifier says of its text. The classifier is naive Bayes over the tokens and token pairs that a text has, fitted on
+labelled documents, at most about ``FIT`` of each source. Nonnegative document rates, at most max_repeats, are fitted by projected-gradient
+least squares so that the expected tokens of each source, by membership, match the targets. A pass over the documents yields the
+totals; only those, one number per mix and source, reach the driver, and a document's rate is replayed from the moves of the passes
+before, so no state is kept between passes. Passes end when totals settle; shares say whether they did.
 
 Gradients are scaled by the tokens a source has, so a pass moves all documents of a source alike, whatever their lengths. Rates become
 whole copies in shards, longest documents first, each source carrying its rounding error on to its next document.
@@ -27,12 +27,16 @@ from quoin.llm.tokens import default_vocabulary, encoding
 from quoin.operators.runs import co_sorted, ints, key_runs
 from quoin.session import cut, spread
 
-#: Buckets of tokens and token pairs; passes of either kind at most; relative change of totals that ends them; weight of the posteriors' targets.
-BUCKETS, PASSES, SETTLED, SOFT = 1 << 15, 12, 1e-4, 0.1
+#: Buckets of tokens and token pairs at most; bytes of the model at most, which make them fewer where sources are many, and buckets at least.
+BUCKETS, MODEL_BYTES, LEAST_BUCKETS = 1 << 15, 64 << 20, 1 << 8
+#: Labelled documents of a source that the classifier is fitted on, roughly, chosen by hash.
+FIT = 2_000
+#: Passes at most; relative change of totals that ends them.
+PASSES, SETTLED = 100, 1e-6
 #: Features whose evidence a posterior counts at most: parts of one text are not independent.
 EVIDENCE = 60.0
-#: Documents of a rounding shard, roughly; sources that may be told apart.
-SHARD, SOURCES = 20_000, 2_000
+#: Documents of a rounding shard, roughly.
+SHARD = 20_000
 
 
 @dataclass(frozen=True)
@@ -43,110 +47,142 @@ class Mix:
     size_ratio: float
 
 
-def features(ids: np.ndarray) -> np.ndarray:
+def buckets_for(sources: int) -> int:
+    """Buckets of a model of so many sources; a power of two, and so few that the model keeps its size."""
+    out = BUCKETS
+    while out * sources * 4 > MODEL_BYTES and out > LEAST_BUCKETS:
+        out //= 2
+    if out * sources * 4 > MODEL_BYTES:
+        raise ValueError(f"{sources} sources are more than a model of {MODEL_BYTES} bytes tells apart")
+    return out
+
+
+def features(ids: np.ndarray, buckets: int) -> np.ndarray:
     """The buckets of the tokens and neighbouring pairs of a text, each once."""
-    return np.unique(np.concatenate([ids % BUCKETS, (ids[:-1] * 31 + ids[1:] * 1_000_003) % BUCKETS]))
+    return np.unique(np.concatenate([ids % buckets, (ids[:-1] * 31 + ids[1:] * 1_000_003) % buckets]))
 
 
-def _bucket_counts(path: str, sources: Sequence[str]):
+def _bucket_counts(path: str, sources: Sequence[str], buckets: int):
     index = {s: i for i, s in enumerate(sources)}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path).encode_ordinary
-        table = np.zeros((len(sources), BUCKETS), dtype=np.int64)
+        table = np.zeros((len(sources), buckets), dtype=np.int32)
         for batch in batches:
             for text, source in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist()):
-                table[index[source], features(np.array(encode(text), dtype=np.int64))] += 1
+                table[index[source], features(np.array(encode(text), dtype=np.int64), buckets)] += 1
         row, bucket = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(table[row, bucket])], names=["row", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(table[row, bucket].astype(np.int64))], names=["row", "bucket", "n"])
 
     return task
 
 
-def fit_classifier(documents: DataFrame, sources: Sequence[str], vocabulary: str) -> np.ndarray:
-    """Log-probabilities, sources x buckets, with the log prior of each source in a last column. Fitted on all labelled documents."""
-    labelled = documents.where(F.col("source").isNotNull() & F.col("text").isNotNull()).select("text", "source")
-    counts = labelled.mapInArrow(_bucket_counts(vocabulary, sources), "row int, bucket int, n long").groupBy("row", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((len(sources), BUCKETS), 0.5)
-    table[counts["row"].to_numpy(), counts["bucket"].to_numpy()] += counts["n"].to_numpy()
-    model = np.log(table / table.sum(axis=1, keepdims=True))
-    return np.column_stack([model, np.log(table.sum(axis=1) / table.sum())])
+def fit_classifier(documents: DataFrame, counts: dict[str, int], vocabulary: str) -> np.ndarray:
+    """Log-probabilities, sources x buckets, with the log prior of each source in a last column. ``counts``: documents of each source, in the order of
+    rows; of a source with more than ``FIT`` those whose hash is small enough are read."""
+    sources = list(counts)
+    buckets = buckets_for(len(sources))
+    parts = 1 << 30
+    kept = documents.sparkSession.createDataFrame([(s, max(1, int(parts * min(1.0, FIT / max(1, n))))) for s, n in counts.items()], "source string, part_ long")
+    labelled = documents.where(F.col("text").isNotNull()).join(kept, "source").where(F.pmod(F.xxhash64("key", "text"), F.lit(parts)) < F.col("part_")).select("text", "source")
+    found = labelled.mapInArrow(_bucket_counts(vocabulary, sources, buckets), "row int, bucket int, n long").groupBy("row", "bucket").agg(F.sum("n").alias("n")).toPandas()  # a model's size
+    table = np.full((len(sources), buckets), 0.5)
+    table[found["row"].to_numpy(), found["bucket"].to_numpy()] += found["n"].to_numpy()
+    prior = np.array([counts[s] + 0.5 for s in sources])
+    return np.column_stack([np.log(table / table.sum(axis=1, keepdims=True)), np.log(prior / prior.sum())]).astype(np.float32)
 
 
 def posterior(ids: np.ndarray, model: np.ndarray) -> np.ndarray:
     """Posteriors over the sources of a text with these token ids."""
-    score = model[:, -1].copy()
+    score = model[:, -1].astype(float)
     if len(ids):
-        used = features(ids)
-        score += model[:, used].sum(axis=1) * min(1.0, EVIDENCE / len(used))
+        used = features(ids, model.shape[1] - 1)
+        score += model[:, used].sum(axis=1, dtype=float) * min(1.0, EVIDENCE / len(used))
     score = np.exp(score - score.max())
     return score / score.sum()
 
 
-def _members(path: str, sources: Sequence[str], model: np.ndarray):
+def _members(path: str, sources: Sequence[str], model):
     index = {s: i for i, s in enumerate(sources)}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode, weights = encoding(path).encode_ordinary, model.value
         for batch in batches:
             tokens, soft, own = [], [], []
             for text, source in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist()):
-                ids = np.array(encode(text or ""), dtype=np.int64)
-                p = posterior(ids, model)
+                ids = encode(text or "")
                 tokens.append(len(ids))
+                p = None if source is not None else posterior(np.array(ids, dtype=np.int64), weights)
                 soft.append(p)
-                own.append(index.get(source, int(np.argmax(p))) if source is not None else int(np.argmax(p)))
-            flat = pa.array(np.concatenate(soft) if soft else np.zeros(0))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(soft) + 1, dtype=np.int32) * len(sources)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("source"), pa.array(own, pa.int32()), pa.array(tokens, pa.int64()), lists], names=["key", "source", "own", "tokens", "soft"])
+                own.append(index[source] if p is None else int(np.argmax(p)))
+            columns = [batch.column(0), batch.column("source"), pa.array(own, pa.int32()), pa.array(tokens, pa.int64()), pa.array(soft, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "source", "own", "tokens", "soft"])
 
     return task
 
 
-def rates(own: np.ndarray, soft: np.ndarray, moves: np.ndarray, cap: float) -> np.ndarray:
-    """Rates of documents after the passes so far. ``moves``: passes x 2 x sources, what a pass takes from the rate of a full member."""
-    r = np.zeros(len(own))
-    for by_label, by_posterior in moves:
-        r = np.clip(r - by_label[own] - soft @ by_posterior, 0.0, cap)
-    return r
+@dataclass
+class Members:
+    """Arrays of some documents: source or likeliest source, tokens, and the rows that have a soft membership, with it."""
+
+    own: np.ndarray
+    tokens: np.ndarray
+    rows: np.ndarray
+    soft: np.ndarray
 
+    @staticmethod
+    def of(table: pa.Table | pa.RecordBatch, sources: int) -> Members:
+        column = pa.table({"x": table["soft"]})["x"].combine_chunks()
+        rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        flat = column.drop_null().flatten().to_numpy(zero_copy_only=False)
+        return Members(ints(table["own"], 0), ints(table["tokens"], 0).astype(float), rows, flat.reshape(-1, sources))
 
-def _arrays(table: pa.Table | pa.RecordBatch, sources: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat = pa.table({"x": table["soft"]})["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return ints(table["own"], 0), ints(table["tokens"], 0).astype(float), flat.reshape(-1, sources)
+    def rates(self, moves: np.ndarray, cap: float) -> np.ndarray:
+        """Rates after the passes so far. ``moves``: passes x sources, what a pass takes from the rate of a full member."""
+        r = np.zeros(len(self.own))
+        for move in moves:
+            down = move[self.own]
+            down[self.rows] = self.soft @ move
+            r = np.clip(r - down, 0.0, cap)
+        return r
+
+    def totals(self, weight: np.ndarray, sources: int) -> np.ndarray:
+        """Sums of ``weight`` by membership."""
+        hard = weight.copy()
+        hard[self.rows] = 0.0
+        return np.bincount(self.own, weights=hard, minlength=sources) + weight[self.rows] @ self.soft
 
 
 def _totals(moves: dict[str, np.ndarray], caps: dict[str, float], sources: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {m: np.zeros((2, sources)) for m in moves}
+        sums = {m: np.zeros(sources) for m in moves}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, tokens, soft = _arrays(batch, sources)
+            part = Members.of(batch, sources)
             for mix, path in moves.items():
-                weight = tokens * rates(own, soft, path, caps[mix])
-                sums[mix][0] += np.bincount(own, weights=weight, minlength=sources)
-                sums[mix][1] += weight @ soft
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))], names=["mix", "sums"])
+                sums[mix] += part.totals(part.tokens * part.rates(path, caps[mix]), sources)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], names=["mix", "sums"])
 
     return task
 
 
 def _sum_totals(members: DataFrame, moves: dict[str, np.ndarray], caps: dict[str, float], sources: int) -> dict[str, np.ndarray]:
-    """Per mix the tokens of each source, by label and by posterior: one pass."""
+    """Per mix the expected tokens of each source: one pass."""
     parts = members.mapInArrow(_totals(moves, caps, sources), "mix string, sums array<double>").select("mix", F.posexplode("sums").alias("i", "v"))
-    out = {m: np.zeros(2 * sources) for m in moves}
+    out = {m: np.zeros(sources) for m in moves}
     for m, i, v in parts.groupBy("mix", "i").agg(F.sum("v")).collect():
         out[m][i] = v
-    return {m: v.reshape(2, sources) for m, v in out.items()}
+    return out
 
 
 def _copies(moves: dict[str, np.ndarray], caps: dict[str, float], sources: int, schema: pa.Schema):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in key_runs(batches, ["shard"]):
-            own, tokens, soft = _arrays(table, sources)
+            part = Members.of(table, sources)
+            own, tokens = part.own, part.tokens
             for mix, path in moves.items():
-                r = rates(own, soft, path, caps[mix])
+                r = part.rates(path, caps[mix])
                 low, chosen = np.floor(r + 1e-9), np.zeros(len(r), dtype=np.int64)
                 for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     debt = [0.0] * sources
@@ -166,49 +202,41 @@ def _copies(moves: dict[str, np.ndarray], caps: dict[str, float], sources: int,
 
 def mix_sources(documents: DataFrame, key: str, text: str, source: str, mixes: Sequence[Mix], *, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(uses, shares). uses: mix_name, ``key``, source, predicted (a bool: the source is the classifier's), copies, rate and tokens of each
-    document used. shares: mix_name, source, target_share, actual_share, target_tokens, tokens, documents, most_copies and limited (the source has
-    too few tokens for its target, even with every document used max_repeats times).
+    document used. shares: mix_name, source, target_share, actual_share, target_tokens, tokens, expected_tokens (by membership, before rates become
+    copies), documents, most_copies, limited (the source has too few tokens for its target, even with every document used max_repeats times) and
+    settled (of the mix: the passes ended because nothing moved).
 
     Targets are size_ratio times the tokens of all documents, by target share. A source that cannot reach its target gives all it may; the
     others keep theirs, so the total falls short by as much, and shares say what came out. A wished source without documents supplies nothing;
-    documents of an unwished source are not used. Documents without a source count for the source that they most resemble. Null, empty and blank
-    texts without tokens are never used. Repeated rows are documents of their own. Mixes without documents give shares of zero. Extra columns
-    are ignored. At most ``SOURCES`` distinct sources (raises).
+    documents of an unwished source are not used. Documents without a source are members of each source as far as they read like it, and
+    their tokens are reported for the likeliest. Null, empty and blank texts without tokens are never used. Repeated rows are documents of their own.
+    Mixes without documents give shares of zero. Extra columns are ignored. Names of sources go to the driver; more than ``MODEL_BYTES`` allows raise.
     """
     path = vocabulary or default_vocabulary()
     docs = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source")))
-    present = [r[0] for r in docs.where(F.col("source").isNotNull()).select("source").distinct().orderBy("source").limit(SOURCES + 1).collect()]
-    if len(present) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    names = present or ["unknown"]
-    n = len(names)
-    model = fit_classifier(docs, names, path)
+    counts = {r[0]: r[1] for r in docs.where(F.col("source").isNotNull()).groupBy("source").count().orderBy("source").collect()} or {"unknown": 0}
+    names, n = list(counts), len(counts)
+    spark = documents.sparkSession
+    model = spark.sparkContext.broadcast(fit_classifier(docs, counts, path))  # at most MODEL_BYTES
     schema = StructType([StructField("key", documents.schema[key].dataType), StructField("source", StringType()), StructField("own", IntegerType()), StructField("tokens", LongType()), StructField("soft", ArrayType(DoubleType()))])
     members = cut(docs.mapInArrow(_members(path, names, model), schema).where("tokens > 0"))
     caps = {m.name: float(m.max_repeats) for m in mixes}
 
-    # what each source has, by label and by posterior: the totals at rate one
-    have = _sum_totals(members, {"all": np.array([[np.full(n, -1.0), np.zeros(n)]])}, {"all": 1.0}, n)["all"]
-    size = float(have[0].sum())
+    have = _sum_totals(members, {"all": np.full((1, n), -1.0)}, {"all": 1.0}, n)["all"]  # the totals at rate one
+    size = float(have.sum())
     targets = {m.name: np.array([m.shares.get(s, 0.0) * m.size_ratio * size for s in names]) for m in mixes}
-    wished = {m.name: np.array([m.shares.get(s, 0.0) > 0 for s in names]) for m in mixes}
-    moves = {m.name: np.zeros((0, 2, n)) for m in mixes}
-    sums = {m.name: np.zeros((2, n)) for m in mixes}
-    settled = False
-    for soft in [True] * PASSES + [False] * PASSES:
-        if not mixes or (soft and settled):
-            continue
+    moves = {m.name: np.zeros((0, n)) for m in mixes}
+    sums = {m.name: np.zeros(n) for m in mixes}
+    settled = {m.name: False for m in mixes}
+    for _ in range(PASSES if mixes else 0):
         for m in mixes:
-            now = sums[m.name]
-            by_label = np.divide(now[0] - targets[m.name], have[0], out=np.zeros(n), where=have[0] > 0)
-            by_posterior = SOFT * soft * np.divide(now[1] - targets[m.name], have[1], out=np.zeros(n), where=have[1] > 0)
-            by_label = np.where(wished[m.name], by_label, 2 * caps[m.name])  # unwished sources stay at zero
-            moves[m.name] = np.concatenate([moves[m.name], np.array([[by_label, by_posterior]]) / (1 + SOFT * soft)])
+            down = np.divide(sums[m.name] - targets[m.name], have, out=np.zeros(n), where=have > 0)
+            moves[m.name] = np.concatenate([moves[m.name], down[None]])
         new = _sum_totals(members, moves, caps, n)
-        change = max(float(np.abs(new[m.name] - sums[m.name]).max()) / max(1.0, float(targets[m.name].sum())) for m in mixes)
+        for m in mixes:
+            settled[m.name] = float(np.abs(new[m.name] - sums[m.name]).max()) <= SETTLED * max(1.0, float(targets[m.name].sum()))
         sums = new
-        settled = change < SETTLED
-        if settled and not soft:
+        if all(settled.values()):
             break
     rows = members.count()
     shards = max(1, -(-rows // SHARD))
@@ -220,19 +248,18 @@ def mix_sources(documents: DataFrame, key: str, text: str, source: str, mixes: S
     used = co_sorted(placed, ["shard"], [F.desc("tokens"), "key"]).mapInArrow(_copies(moves, caps, n, to_arrow_schema(out)), out)
     label = F.element_at(F.array(*map(F.lit, names)), F.col("own") + 1)
     uses = used.select("mix_name", F.col("key").alias(key), label.alias("source"), F.col("source").isNull().alias("predicted"), "copies", "rate", "tokens")
-    spark = documents.sparkSession
-    cap_of = {m.name: np.array([m.shares.get(s, 0.0) * m.size_ratio * size > caps[m.name] * h for s, h in zip(names, have[0])]) for m in mixes}
+    at = {s: i for i, s in enumerate(names)}
     wanted = [
-        (m.name, s, float(share), float(share * m.size_ratio * size), bool(s not in names or cap_of[m.name][names.index(s)]))
+        (m.name, s, float(share), float(share * m.size_ratio * size), float(sums[m.name][at[s]]) if s in at else 0.0, s not in at or bool(share * m.size_ratio * size > caps[m.name] * have[at[s]]), settled[m.name])
         for m in mixes for s, share in sorted(m.shares.items())
     ]
-    want = spark.createDataFrame(wanted, "mix_name string, source string, target_share double, target_tokens double, limited boolean")
+    want = spark.createDataFrame(wanted, "mix_name string, source string, target_share double, target_tokens double, expected_tokens double, limited boolean, settled boolean")
     got = uses.groupBy("mix_name", "source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     all_of = got.groupBy("mix_name").agg(F.sum("tokens").alias("all_tokens"))
     joined = want.join(got, ["mix_name", "source"], "left").join(all_of, "mix_name", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     shares = joined.select(
         "mix_name", "source", "target_share", F.coalesce(zero("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), "target_tokens",
-        zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_copies").alias("most_copies"), "limited",
+        zero("tokens").alias("tokens"), "expected_tokens", zero("documents").alias("documents"), zero("most_copies").alias("most_copies"), "limited", "settled",
     )
     return uses, shares

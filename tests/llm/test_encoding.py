@@ -16,6 +16,35 @@ CLEAN = [
 ]
 
 
+LANGUAGES = [
+    "Zażółć gęślą jaźń", "Українська компанія їде є ґанок", "tăng trưởng doanh thu công ty Nguyễn Văn", "Беларусь ўсё", "Příliš žluťoučký kůň úpěl ďábelské ódy", "Ελληνικά μέσα ενημέρωσης",
+    "日本語のテキスト", "İstanbul'da değişiklik", "Ār ģimenes", "Šiaulių įmonė", "Њујорк ћирилица", "Þetta er íslenska", "Øresund på", "Български език", "中文文本测试", "čeština ů ě",
+]
+
+
+@pytest.mark.parametrize("text", LANGUAGES)
+def test_other_languages_are_left_alone(text):
+    assert restore(text) == (text, [], False)
+
+
+def read(text, meant, wrong):
+    return "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in text.encode(meant))
+
+
+@pytest.mark.parametrize("text,meant,wrong", [
+    (LANGUAGES[0], "utf-8", "cp1252"), (LANGUAGES[0], "iso8859-2", "latin-1"), (LANGUAGES[1][:23], "utf-8", "cp1251"), (LANGUAGES[1][:23], "cp1251", "cp1252"), (LANGUAGES[2], "utf-8", "cp1252"),
+    (LANGUAGES[3], "utf-8", "cp1252"), ("Příliš žluťoučký kůň", "utf-8", "cp1250"), (LANGUAGES[5], "cp1253", "cp1252"), (LANGUAGES[5], "utf-8", "cp1252"), (LANGUAGES[6], "utf-8", "cp1252"),
+    ("日本語のテキストです", "shift_jis", "cp1252"), ("中文文本测试信息", "gbk", "cp1252"), (LANGUAGES[9], "utf-8", "cp1257"), ("Şirketin değişikliği", "utf-8", "cp1254"), ("Совокупный долг вырос", "iso8859-5", "cp1251"),
+    ("Совокупный долг", "utf-8", "cp1254"), ("Õpetaja läks üle", "utf-8", "mac_roman"),
+])
+def test_other_languages_come_back(text, meant, wrong):
+    assert restore(read(text, meant, wrong))[0] == text
+
+
+def test_letters_that_were_never_garbled_stay():
+    assert restore("item ½Выручка╗ maps")[0] == "item «Выручка» maps"
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_unusual_but_right_texts_are_left_alone(text):
     assert restore(text) == (text, [], False)

@@ -59,11 +59,24 @@ def test_nulls_blanks_repeats_empty_and_no_mixes(spark):
     assert not {500, 501} & {u["doc"] for u in uses}
     uses, shares = run(spark, [], [Mix("m", {"a": 1.0}, 1, 1.0)])
     assert uses == [] and shares["m", "a"]["actual_share"] == 0
-    with pytest.raises(ValueError):
-        import quoin.llm.mixing as mixing
+    assert run(spark, documents(50), []) == ([], {})
+
+
+def test_soft_members_count_for_each_source_as_far_as_they_read_like_it(spark):
+    """Documents that read half like a and half like b, more of them than there are labelled ones: the expected totals must still meet the targets."""
+    rng = random.Random(4)
+    words = {s: WORDS[s].split() for s in "ab"}
+    rows = [(i, " ".join(rng.choice(words["ab"[i % 2]]) for _ in range(20)), "ab"[i % 2], 1) for i in range(80)]
+    rows += [(1000 + i, " ".join(rng.choice(words["a"]) + " " + rng.choice(words["b"]) for _ in range(10)), None, 1) for i in range(200)]
+    uses, shares = run(spark, rows, [Mix("m", {"a": 0.7, "b": 0.3}, 3, 0.4)])
+    for s in "ab":
+        assert shares["m", s]["expected_tokens"] == pytest.approx(shares["m", s]["target_tokens"], rel=1e-4) and shares["m", s]["settled"]
+    assert len({round(u["rate"], 6) for u in uses if u["predicted"]}) > 2  # rates follow memberships, not labels
 
-        before, mixing.SOURCES = mixing.SOURCES, 2
-        try:
-            run(spark, documents(50), [])
-        finally:
-            mixing.SOURCES = before
+
+def test_the_model_keeps_its_size():
+    from quoin.llm.mixing import BUCKETS, MODEL_BYTES, buckets_for
+
+    assert buckets_for(20) == BUCKETS and all(buckets_for(n) * n * 4 <= MODEL_BYTES for n in (20, 2_000, 60_000))
+    with pytest.raises(ValueError):
+        buckets_for(1_000_000)
