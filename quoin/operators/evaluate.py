@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.functions.expr import guarded_corr, pct_rank, quantile_bucket
+from quoin.functions.expr import guarded_corr, normal_cdf, pct_rank, quantile_bucket
 
 YEAR = 252
 GAMMA = 0.5772156649015329  # Euler's constant
@@ -29,6 +29,30 @@ def unpivoted(panel: DataFrame, scores: Sequence[str], keep: Sequence[str], name
     return panel.select(*keep, F.explode(cells).alias("c_")).select(*keep, f"c_.{name}", f"c_.{value}")
 
 
+def rolling_ic(daily: DataFrame, days: int = 21, least: int = 3) -> DataFrame:
+    """rolling_rank_ic: mean rank_ic over the last ``days`` dates, null under ``least`` values. One row a date."""
+    frame = Window.orderBy("date").rowsBetween(1 - days, 0)
+    return daily.withColumn("rolling_rank_ic", F.when(F.count("rank_ic").over(frame) >= least, F.avg("rank_ic").over(frame)))
+
+
+def decay_ends(curve: DataFrame) -> DataFrame:
+    """Mean label of the lowest and of the highest bucket per horizon of ``decay``."""
+    return curve.groupBy("horizon").agg(F.min_by("mean_label", "bucket").alias("bottom"), F.max_by("mean_label", "bucket").alias("top"))
+
+
+def wide_predictions(predictions: DataFrame, models: Sequence[str], model: str = "model_name", value: str = "raw_prediction") -> DataFrame:
+    """One row per date and security, one column per model: its first prediction (the least, if there are several)."""
+    return predictions.groupBy("date", "security_id").agg(*(F.min(F.when(F.col(model) == m, F.col(value))).alias(m) for m in models))
+
+
+def hypotheses(daily: DataFrame, *by: str) -> DataFrame:
+    """Per hypothesis (``by``): rank_ic_mean, its days, and p, that of a mean this high or higher if the true one were zero; null under two days or
+    without variation."""
+    n, mean, sd = F.count("rank_ic"), F.avg("rank_ic"), F.stddev_samp("rank_ic")
+    one = daily.groupBy(*by).agg(mean.alias("rank_ic_mean"), n.alias("days"), F.when((n >= 2) & (sd > 1e-12), mean / (sd / F.sqrt(n.cast("double")))).alias("t_"))
+    return one.withColumn("p", 1.0 - normal_cdf("t_")).drop("t_")
+
+
 def regimes(benchmark: DataFrame, lookback: int = 63) -> DataFrame:
     """risk_on or risk_off per date, by the sign of the benchmark's return over ``lookback`` sessions; risk_on before there is one."""
     order = Window.orderBy("trade_date")  # one row a day
@@ -103,10 +127,16 @@ def probabilistic_sharpe(ratio: float, n: int, skew: float, kurtosis: float, ben
     return NormalDist().cdf((ratio - benchmark) * sqrt(n - 1) / sqrt(variance))
 
 
-def deflated_sharpe(ratio: float, n: int, skew: float, kurtosis: float, trials: int, spread: float) -> float | None:
-    """Against the ratio that the best of ``trials`` without skill would reach, given the spread of their ratios."""
+def deflated_sharpe(ratio: float, n: int, skew: float, kurtosis: float, trials: int, spread: float | None = None) -> float | None:
+    """Against the ratio that the best of ``trials`` without skill would reach, given the spread of their ratios: by default the standard error of this
+    one, from its length, skew and kurtosis."""
     if trials < 2:
         return probabilistic_sharpe(ratio, n, skew, kurtosis)
+    if spread is None:
+        variance = 1 - skew * ratio + (kurtosis - 1) / 4 * ratio**2
+        if n < 2 or variance <= 0:
+            return None
+        spread = sqrt(variance / (n - 1))
     z = NormalDist().inv_cdf
     expected = spread * ((1 - GAMMA) * z(1 - 1 / trials) + GAMMA * z(1 - 1 / (trials * e)))
     return probabilistic_sharpe(ratio, n, skew, kurtosis, expected)
@@ -124,6 +154,70 @@ def block_bootstrap(values: Sequence[float], statistic, draws: int = 300, block:
     return np.array([statistic(row) for row in x[at]])
 
 
+def interval(draws: np.ndarray, level: float = 0.95) -> tuple[float | None, float | None]:
+    """The middle ``level`` of the draws that are numbers."""
+    draws = draws[np.isfinite(draws)]
+    return (None, None) if not len(draws) else tuple(float(q) for q in np.quantile(draws, [(1 - level) / 2, (1 + level) / 2]))
+
+
+def predictive_uncertainty(rank_ic: Sequence[float], ic: Sequence[float], *, draws: int = 300, block: int = 20, seed: int = 42) -> dict[str, float | None]:
+    """Means of daily ICs with block-bootstrap intervals, the share of positive days, and the one-sided p of the rank IC. The series have one
+    number a session and are held on the driver; None and NaN are left out."""
+    out: dict[str, float | None] = {}
+    clean = {"rank_ic": _numbers(rank_ic), "ic": _numbers(ic)}
+    for i, (name, x) in enumerate(clean.items()):
+        out[f"{name}_mean"] = float(x.mean()) if len(x) else None
+        out[f"{name}_ci_lower"], out[f"{name}_ci_upper"] = interval(block_bootstrap(x, np.mean, draws, block, seed + i))
+    x = clean["rank_ic"]
+    out["rank_ic_positive_fraction"] = float((x > 0).mean()) if len(x) else None
+    out["rank_ic_p_value"] = one_sided_p(float(x.mean()), float(x.std(ddof=1)), len(x)) if len(x) > 1 else None
+    return out | {"sample_size_days": float(len(x))}
+
+
+def _numbers(values: Sequence[float]) -> np.ndarray:
+    x = np.array([np.nan if v is None else v for v in values], dtype=float)
+    return x[np.isfinite(x)]
+
+
+def _sharpe(x: np.ndarray) -> float:
+    spread = x.std()
+    return float(x.mean() / spread * sqrt(YEAR)) if spread > 1e-12 else float("nan")
+
+
+def portfolio_uncertainty(returns: Sequence[float], trials: int = 1, *, draws: int = 300, block: int = 20, seed: int = 42) -> dict[str, float | None]:
+    """Sharpe ratio with a block-bootstrap interval, probabilistic and deflated ratios, skew (0) and kurtosis (3) of daily net returns. One number a
+    session, held on the driver."""
+    x = _numbers(returns)
+    if not len(x):
+        return {}
+    ratio, spread = _sharpe(x), float(x.std())
+    skew = float((((x - x.mean()) / spread) ** 3).mean()) if len(x) > 2 and spread > 1e-12 else 0.0
+    kurtosis = float((((x - x.mean()) / spread) ** 4).mean()) if len(x) > 3 and spread > 1e-12 else 3.0
+    low, high = interval(block_bootstrap(x, _sharpe, draws, block, seed))
+    flat = ratio != ratio
+    return {
+        "net_sharpe": None if flat else ratio, "net_sharpe_ci_lower": low, "net_sharpe_ci_upper": high,
+        "probabilistic_sharpe_ratio": float(x.mean() > 0) if flat else probabilistic_sharpe(ratio, len(x), skew, kurtosis),
+        "deflated_sharpe_ratio": float(x.mean() > 0) if flat else deflated_sharpe(ratio, len(x), skew, kurtosis, max(1, trials)),
+        "effective_trial_count": float(max(1, trials)), "return_skewness": skew, "return_kurtosis": kurtosis, "sample_size_days": float(len(x)),
+    }
+
+
+#: Gate -> side and bound of what is observed: fixed values. Stressed costs are held against half of the base case's Sharpe ratio, at most zero.
+GATES = {
+    "predictive_floor": (">=", -0.01), "deflated_sharpe": (">=", 0.5), "regime_balance": (">=", -0.10), "ablation_resilience": (">=", -0.05),
+    "position_concentration": ("<=", 0.25), "capacity_clip": ("<=", 0.25),
+}
+
+
+def stability_gates(observed: dict[str, float | None], base_sharpe: float | None, stressed_sharpe: float | None) -> list[dict]:
+    """The seven gates as rows: gate, passed, observed, threshold. What is missing passes."""
+    limits = GATES | ({} if base_sharpe is None or base_sharpe != base_sharpe else {"cost_robustness": (">=", min(0.0, 0.5 * base_sharpe))})
+    values = dict(observed) | {"cost_robustness": stressed_sharpe}
+    passed = gates(values, limits)
+    return [{"gate": g, "passed": passed.get(g, True), "observed": values.get(g), "threshold": limits.get(g, (None, None))[1]} for g in (*GATES, "cost_robustness")]
+
+
 def gates(observed: dict[str, float | None], limits: dict[str, tuple[str, float]]) -> dict[str, bool]:
     """Whether each observed value keeps its limit, (">=" or "<=", bound); a missing or NaN value passes."""
     def passes(name: str) -> bool:

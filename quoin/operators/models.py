@@ -1,5 +1,5 @@
-"""Scores and models. Linear models need one pass: a Gram matrix of sums, solved on the driver; its size is that of the features, not
-of the rows. Boosted stumps need one pass per round, over histograms."""
+"""Scores and models. Linear models need one pass: centred cross products, summed in Arrow batches and merged pairwise, so nothing cancels; what the
+driver solves has the size of the features, not of the rows. Boosted stumps need one pass per round, over histograms."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.expr import pct_rank
+from quoin.operators.quantiles import exact_quantiles
 from quoin.operators.runs import floats
 from quoin.session import cut
 
@@ -48,23 +49,76 @@ class Gram:
     xy: np.ndarray
 
 
-def gram(rows: DataFrame, features: Sequence[str], label: str) -> Gram:
-    """One aggregate over the rows that have every feature and the label."""
-    complete = rows.select(*features, label).dropna()
-    p = len(features)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    one = complete.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(label).alias("y"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(features)),
-        *(F.sum(F.col(features[i]) * F.col(features[j])).alias(f"x{i}_{j}") for i, j in pairs), *(F.sum(F.col(f) * F.col(label)).alias(f"y{i}") for i, f in enumerate(features)),
-    ).first()
-    n = one["n"]
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Count, mean and centred products of two parts together."""
+    n = a[0] + b[0]
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+_PARTS = "segment int, n long, mean array<double>, products array<double>"
+
+
+def _emit(parts: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+    keys = sorted(parts)
+    columns = [pa.array(keys, pa.int32()), pa.array([parts[k][0] for k in keys], pa.int64()), pa.array([parts[k][1].tolist() for k in keys], pa.list_(pa.float64())), pa.array([parts[k][2].ravel().tolist() for k in keys], pa.list_(pa.float64()))]
+    yield pa.RecordBatch.from_arrays(columns, names=["segment", "n", "mean", "products"])
+
+
+def _products(width: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, tuple] = {}
+        for batch in batches:
+            x = np.column_stack([floats(batch.column(i)) for i in range(width)])
+            whole = np.isfinite(x).all(axis=1)
+            segment = batch.column("segment").to_numpy(zero_copy_only=False)
+            for s in np.unique(segment[whole]).tolist():
+                own = x[whole & (segment == s)]
+                mean = own.mean(axis=0)
+                part = (len(own), mean, (own - mean).T @ (own - mean))
+                parts[s] = _joined(parts[s], part) if s in parts else part
+        yield from _emit(parts)
+
+    return task
+
+
+def _merged(width: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, tuple] = {}
+        for batch in batches:
+            for s, n, mean, products in zip(*(c.to_pylist() for c in batch.columns)):
+                part = (n, np.array(mean), np.array(products).reshape(width, width))
+                parts[s] = _joined(parts[s], part) if s in parts else part
+        yield from _emit(parts)
+
+    return task
+
+
+def segment_products(rows: DataFrame, features: Sequence[str], label: str, segment: str) -> dict[int, tuple]:
+    """(count, mean, centred products) of features and label over the complete rows of each value of the int column ``segment``: one pass for all. The
+    driver gets the square of the features per segment, so segments must be few; rows without one are left out."""
+    width = len(features) + 1
+    own = rows.where(F.col(segment).isNotNull()).select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate((*features, label))), F.col(segment).cast("int").alias("segment"))
+    parts = own.mapInArrow(_products(width), _PARTS).repartition("segment").mapInArrow(_merged(width), _PARTS)
+    return {r["segment"]: (r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(width, width)) for r in parts.toLocalIterator()}
+
+
+def gram_of(parts: Sequence[tuple], features: Sequence[str]) -> Gram:
+    """The Gram matrix of segments together."""
+    whole = (0, None, None)
+    for part in parts:
+        whole = _joined(whole, part)
+    n, mean, products = whole
     if not n:
         raise ValueError("no complete rows")
-    mean, my = np.array([one[f"s{i}"] for i in range(p)]) / n, one["y"] / n
-    xx, xy = np.zeros((p, p)), np.array([one[f"y{i}"] for i in range(p)]) - n * mean * my
-    for i, j in pairs:
-        xx[i, j] = xx[j, i] = one[f"x{i}_{j}"] - n * mean[i] * mean[j]
-    return Gram(list(features), n, mean, my, xx, xy)
+    return Gram(list(features), n, mean[:-1], float(mean[-1]), products[:-1, :-1], products[:-1, -1])
+
+
+def gram(rows: DataFrame, features: Sequence[str], label: str) -> Gram:
+    """One pass over the rows that have every feature and the label; infinite values count as missing."""
+    return gram_of(list(segment_products(rows.withColumn("segment_", F.lit(0)), features, label, "segment_").values()), features)
 
 
 @dataclass
@@ -139,16 +193,17 @@ class BoostedStumps:
     splits: list[tuple[int, int, float, float]] = field(default_factory=list)  # feature, bin, value up to it, value above
 
     def fit(self, rows: DataFrame, features: Sequence[str], label: str) -> BoostedStumps:
-        rows = rows.where(F.col(label).isNotNull()).select(*features, label)
-        one = rows.agg(F.avg(label).alias("y"), *(F.median(f).alias(f"m{i}") for i, f in enumerate(features))).first()
-        if one["y"] is None:
+        rows = cut(rows.where(F.col(label).isNotNull()).select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias(label)))  # read several times
+        mean = rows.agg(F.avg(label)).first()[0]
+        if mean is None:
             raise ValueError("no labelled rows")
-        filled = rows.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(one[f"m{i}"] or 0.0)) for i, f in enumerate(features)})
+        medians = {f: (m[0] if m else 0.0) for f, m in exact_quantiles(rows, features, [0.5]).items()}
+        filled = rows.withColumns({f: F.coalesce(F.nanvl(F.col(f), F.lit(None).cast("double")), F.lit(medians[f])) for f in features})
         moments = filled.agg(*(F.try_divide(F.covar_pop(f, label), F.stddev_pop(f) * F.stddev_pop(label)).alias(f) for f in features)).first()
         order = sorted(range(len(features)), key=lambda i: -abs(moments[features[i]] or 0.0))[: self.keep]
-        self.features, self.medians, self.base = [features[i] for i in order], [one[f"m{i}"] or 0.0 for i in order], one["y"]
-        at = [float(q) for q in np.linspace(0.1, 0.9, self.bins)]
-        cuts = filled.agg(*(F.percentile(f, F.array(*map(F.lit, at))).alias(f) for f in self.features)).first()
+        self.features, self.base = [features[i] for i in order], mean
+        self.medians = [medians[f] for f in self.features]
+        cuts = exact_quantiles(filled, self.features, [float(q) for q in np.linspace(0.1, 0.9, self.bins)])
         self.thresholds = [sorted(set(cuts[f])) for f in self.features]
         binned = cut(filled.select(*(self._bin(i).alias(f"b{i}") for i in range(len(self.features))), F.col(label).cast("double").alias("y")))
         self.splits = []
@@ -214,6 +269,16 @@ class BoostedStumps:
         return out
 
 
+#: Search space of boosted models.
+BOOSTING = {"rounds": (12, 24), "rate": (0.05, 0.1), "bins": (8, 12, 16), "least_leaf": (12, 24)}
+
+
+def boosting_candidates(trials: int | None = None, seed: int = 42) -> list[dict]:
+    """Combinations of BOOSTING in a seeded order: ``trials`` of them, or 16, and at least one."""
+    space = grid_of(**BOOSTING)
+    return some_of(space, max(1, min(16 if trials is None else trials, len(space))), seed)
+
+
 def grid_of(**options: Sequence) -> list[dict]:
     """All combinations of the options."""
     out: list[dict] = [{}]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions.expr import pct_rank
+from quoin.operators.quantiles import exact_quantiles
 
 MAD = 1.4826
 
@@ -52,7 +53,7 @@ def beta_neutral(c: str, beta: str) -> Column:
 
 @dataclass
 class Winsorizer:
-    """Clips to quantiles of the fit rows; fractions, not percents. Exact percentiles, linearly interpolated, in one aggregate."""
+    """Clips to quantiles of the fit rows; fractions, not percents. Exact percentiles, linearly interpolated."""
 
     columns: Sequence[str]
     low: float = 0.005
@@ -62,8 +63,8 @@ class Winsorizer:
     def fit(self, train: DataFrame) -> Winsorizer:
         if not 0 <= self.low < self.high <= 1:
             raise ValueError("quantiles must be ordered fractions")
-        row = train.agg(*(F.percentile(c, F.array(F.lit(self.low), F.lit(self.high))).alias(c) for c in self.columns)).first()
-        self.bounds = {c: tuple(row[c]) for c in self.columns if row[c] and row[c][0] is not None}
+        found = exact_quantiles(train, list(self.columns), [self.low, self.high])
+        self.bounds = {c: tuple(v) for c, v in found.items() if v}
         return self
 
     def transform(self, panel: DataFrame) -> DataFrame:
@@ -84,7 +85,8 @@ class FoldSafePreprocessor:
     def fit(self, train: DataFrame) -> FoldSafePreprocessor:
         if self.winsor:
             self._winsorizer = Winsorizer(self.columns, *self.winsor).fit(train)
-        one = train.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("date").alias("dates"), F.min("date").alias("first"), F.max("date").alias("last")).first()
+        mark = F.xxhash64("date", "security_id", *self.columns)  # whatever the order of rows
+        one = train.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("date").alias("dates"), F.min("date").alias("first"), F.max("date").alias("last"), F.bit_xor(mark).alias("signature")).first()
         self.fitted = one.asDict() | {"columns": list(self.columns)}
         return self
 

@@ -48,6 +48,16 @@ def issues(flagged: DataFrame, keep: Sequence[str], flags: Sequence[str] = FLAGS
     return flagged.select(*keep, F.explode(raised).alias("issue"))
 
 
+def summary(scored_rows: DataFrame, missing: DataFrame) -> DataFrame:
+    """One row of counts over ``scored`` rows, with the number of ``missing`` sessions and the mean score."""
+    n = F.count(F.lit(1))
+    counts = scored_rows.agg(
+        n.alias("rows_total"), F.count_if("invalid_ohlc").alias("invalid_ohlc_rows"), F.count_if("invalid_volume").alias("invalid_volume_rows"), F.count_if("duplicate_key").alias("duplicate_rows"),
+        F.count_if("unexplained_jump").alias("unexplained_jump_rows"), F.coalesce(F.avg("data_quality_score"), F.lit(0.0)).alias("mean_score"),
+    )
+    return counts.withColumn("k_", F.lit(0)).join(missing.agg(n.alias("missing_sessions")).withColumn("k_", F.lit(0)), "k_").drop("k_")  # one row each
+
+
 def missing_sessions(rows: DataFrame, keys: Sequence[str], day: str, calendar: DataFrame) -> DataFrame:
     """Sessions between each key's first and last session on which it has no row: a span per gap, then its sessions, without an anti-join."""
     numbers = rows.select(*keys, F.col(day).alias("session_date")).distinct().join(calendar.select("session_date", "session_no"), "session_date")

@@ -64,3 +64,51 @@ def fold_summary(roles: DataFrame) -> DataFrame:
         n.alias("dates"), F.count_if(F.col("drop_reason").isNull()).alias("kept"), F.count_if(F.col("drop_reason") == "purged").alias("purged"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )
+
+
+def protocol(roles: DataFrame, spec: WalkForward, least: int = 0) -> DataFrame:
+    """(fold, check, violations) of six checks on the rows of ``fold_roles`` that have no drop_reason: no date in two roles, at least ``least`` dates,
+    labels that end before the next role, its distance beyond the embargo, roles one after the other, and training labels that end before
+    validation and test. Boundaries are those before anything is dropped. All zero in a valid split."""
+    fold = Window.partitionBy("fold")
+    start = {r: F.min(F.when(F.col("role") == r, F.col("session_no"))).over(fold) for r in ("valid", "test")}
+    rows = roles.withColumns({"v_": start["valid"], "t_": start["test"]}).where("drop_reason IS NULL")
+    roles_of = rows.withColumn("times_", F.count(F.lit(1)).over(Window.partitionBy("fold", "date")))
+    label_end = F.col("session_no") + 1 + spec.horizon
+    train, valid = F.col("role") == "train", F.col("role") == "valid"
+    last = lambda r: F.max(F.when(F.col("role") == r, F.col("session_no")))
+    one = roles_of.groupBy("fold", "v_", "t_").agg(
+        F.count_if(F.col("times_") > 1).alias("no_overlap"),
+        (F.count(F.lit(1)) < least).cast("long").alias("min_sample_sizes"),
+        F.count_if((train & (label_end >= F.col("v_"))) | (valid & (label_end >= F.col("t_")))).alias("purge_validity"),
+        (F.coalesce((F.col("v_") - last("train") <= spec.embargo).cast("long"), F.lit(0)) + F.coalesce((F.col("t_") - last("valid") <= spec.embargo).cast("long"), F.lit(0))).alias("embargo_validity"),
+        F.count_if((train & (F.col("session_no") >= F.col("v_"))) | (valid & (F.col("session_no") >= F.col("t_")))).alias("calendar_contiguity"),
+        F.count_if(train & ((label_end >= F.col("v_")) | (label_end >= F.col("t_")))).alias("label_window_separation"),
+    )
+    names = ("no_overlap", "min_sample_sizes", "purge_validity", "embargo_validity", "calendar_contiguity", "label_window_separation")
+    cells = F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in names))
+    return one.select("fold", F.explode(cells).alias("c")).select("fold", "c.check", "c.violations")
+
+
+def require_protocol(roles: DataFrame, spec: WalkForward, least: int = 0) -> None:
+    """Raises on the first check that a fold breaks."""
+    broken = protocol(roles, spec, least).where("violations > 0").orderBy("fold", "check").first()
+    if broken is not None:
+        raise ValueError(f"fold {broken['fold']} breaks {broken['check']}: {broken['violations']}")
+
+
+def overlap_report(spec: WalkForward, purge: int | None = None) -> dict:
+    """What overlapping labels of ``horizon`` sessions ask of a split, and what it has; ``purge`` is the label's reach unless given."""
+    has = spec.horizon + 1 if purge is None else purge
+    return {"primary_horizon": spec.horizon, "purge": has, "embargo": spec.embargo, "required_purge": spec.horizon, "required_embargo": spec.horizon, "enough": has >= spec.horizon and spec.embargo >= spec.horizon}
+
+
+def segments(roles: DataFrame) -> tuple[list[tuple], list[frozenset]]:
+    """Dates that play the same kept roles in the same folds make a segment: (date, segment) rows, and of each segment its (fold, role) pairs. What is summed by
+    segment serves every fold. The roles, a session's folds times the sessions, are held on the driver."""
+    own: dict = {}
+    for r in roles.where("drop_reason IS NULL").select("date", "fold", "role").collect():
+        own.setdefault(r["date"], set()).add((r["fold"], r["role"]))
+    kinds: dict[frozenset, int] = {}
+    dates = [(d, kinds.setdefault(frozenset(p), len(kinds))) for d, p in sorted(own.items())]
+    return dates, list(kinds)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoin.functions.expr import TAIL
 from quoin.functions.text import tidy
 from quoin.session import table
 
@@ -51,3 +52,11 @@ bm AS (SELECT trade_date AS date, open, close FROM benchmark_market)"""
 def grid_sql(x: str, places: int = 6, half: float = 0.5) -> str:
     """The counterpart of quoin.functions.expr.grid; NaN and infinities become null."""
     return f"CASE WHEN isfinite(({x})::DOUBLE) THEN floor(({x})::DOUBLE * {10.0**places}::DOUBLE + {half}::DOUBLE) / {10.0**places}::DOUBLE END"
+
+
+def normal_cdf_sql(x: str) -> str:
+    """The counterpart of quoin.functions.expr.normal_cdf."""
+    a = f"abs({x})"
+    top, bottom = ((lambda terms: "".join(["("] * (len(terms) - 1)) + f"{terms[0]!r}::DOUBLE" + "".join(f" * {a} + {t!r}::DOUBLE)" for t in terms[1:]))(terms) for terms in TAIL)
+    tail = f"CASE WHEN {a} < 7.07106781186547 THEN exp(-{a} * {a} / 2.0::DOUBLE) * {top} / {bottom} ELSE 0 END"
+    return f"CASE WHEN ({x}) > 0 THEN 1 - ({tail}) WHEN ({x}) IS NOT NULL THEN {tail} END"

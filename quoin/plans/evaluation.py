@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin.functions.expr import grid, pct_rank_first, quantile_bucket
-from quoin.operators.evaluate import aum_returns, correlation_matrix, daily_ic, decay, deltas, equity_curve, fdr, fold_stability, moments, regimes, sensitivity, sharpe, unpivoted
+from quoin.functions.expr import by_date, grid, pct_rank_first, quantile_bucket
+from quoin.operators.evaluate import aum_returns, correlation_matrix, daily_ic, decay, decay_ends, deltas, equity_curve, fdr, fold_stability, hypotheses, moments, regimes, rolling_ic, sensitivity, sharpe, unpivoted, wide_predictions
 from quoin.operators.labels import forward_labels
-from quoin.operators.models import BoostedStumps, blend_score, decile, elastic_net, gram, momentum_score, random_score, rank_target, reversal_score, ridge
-from quoin.operators.splits import WalkForward, fold_roles, fold_summary, overlapping
-from quoin.plans.base import benchmark, calendar, grid_sql, sectors, universe
+from quoin.operators.models import BoostedStumps, blend_score, decile, elastic_net, gram, gram_of, momentum_score, random_score, rank_target, reversal_score, ridge, segment_products
+from quoin.operators.splits import WalkForward, fold_roles, fold_summary, overlapping, protocol, segments
+from quoin.plans.base import benchmark, calendar, grid_sql, normal_cdf_sql, universe
 from quoin.plans.features import FUND_CTE
 from quoin.plans.labels import LABEL_CTE, TRAIN_END, feature_base
 from quoin.plans.features import pit_panel
 from quoin.operators.features import with_fundamentals, with_price_features
 from quoin.session import cut
 
-#: Steps of the test's length, so that every month after the first training and validation is tested once.
-SPEC = WalkForward(train=12, valid=2, test=1, step=1)
+#: Steps of the test's length, so that every month after the first training and validation is tested once; the embargo outlasts the purge.
+SPEC = WalkForward(train=12, valid=2, test=1, step=1, embargo=8)
 LINEAR = ["mom_21_ex1", "rev_1"]
 WIDE = ["mom_21_ex1", "rev_1", "vol_21", "ret_5", "px_to_ma20", "hl_range_21"]
 LABEL = "label_excess_5d_oo"
@@ -46,6 +46,14 @@ def fold_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlapping(fold_roles(calendar(spark, sf_dir), SPEC)).groupBy().agg(F.count(F.lit(1)).alias("overlaps"))
 
 
+def validation_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of each check, by fold: in the folds as they are, and in the same folds with nothing dropped, which break them."""
+    roles = fold_roles(calendar(spark, sf_dir), SPEC)
+    raw = roles.withColumn("drop_reason", F.lit(None).cast("string"))
+    both = [protocol(r, SPEC, 310).withColumn("scope", F.lit(n)) for n, r in (("kept", roles), ("raw", raw))]
+    return both[0].unionByName(both[1])
+
+
 # models
 def score_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = with_price_features(with_fundamentals(pit_panel(spark, sf_dir)), benchmark(spark, sf_dir))
@@ -82,17 +90,25 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oof_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold scores with rank and decile: a model per fold on its kept training dates, applied to its test dates."""
-    panel = cut(scored(spark, sf_dir).select("security_id", "date", *LINEAR, LABEL))  # two passes a fold
-    roles = fold_roles(calendar(spark, sf_dir), SPEC).where("drop_reason IS NULL")
-    out = None
-    for fold in [r[0] for r in roles.select("fold").distinct().orderBy("fold").collect()]:
-        days = roles.where(F.col("fold") == fold)
-        model = ridge(gram(panel.join(days.where("role = 'train'").select("date"), "date"), LINEAR, LABEL), 1.0)
-        test = panel.join(days.where("role = 'test'").select("date"), "date").select("security_id", "date", F.lit(fold).alias("fold"), model.predict().alias("score"))
-        out = test if out is None else out.unionByName(test)
+    """Out-of-fold scores with rank and decile: a model per fold on its kept training dates, applied to its test dates. One pass sums what all folds
+    need by segment of dates, another scores the rows with the coefficients of their date's fold."""
+    panel = cut(scored(spark, sf_dir).select("security_id", "date", *LINEAR, LABEL))
+    dates, kinds = segments(fold_roles(calendar(spark, sf_dir), SPEC))
+    marked = panel.join(spark.createDataFrame(dates, "date date, segment int"), "date")  # one row a session
+    parts = segment_products(marked, LINEAR, LABEL, "segment")
+    models = {}
+    for fold in sorted({f for k in kinds for f, _ in k}):
+        own = [parts[i] for i, k in enumerate(kinds) if (fold, "train") in k and i in parts]
+        if own:
+            models[fold] = ridge(gram_of(own, LINEAR), 1.0)
+    tests = [(d, f, [models[f].intercept, *models[f].coefficients]) for d, i in dates for f, role in kinds[i] if role == "test" and f in models]
+    test = panel.join(spark.createDataFrame(tests, "date date, fold long, c array<double>"), "date")
+    score = F.col("c")[0]
+    for i, f in enumerate(LINEAR):
+        score = score + F.col("c")[i + 1] * F.coalesce(F.col(f), F.lit(0.0))
+    out = by_date(test.select("security_id", "date", "fold", score.alias("score")))
     ranked = out.withColumn("rank_prediction", pct_rank_first("score", "fold", "date"))
-    return _day(ranked.withColumn("bucket", decile("rank_prediction")))
+    return _day(ranked.withColumn("bucket", decile("rank_prediction")).select("security_id", "date", "fold", grid("score").alias("score"), grid("rank_prediction").alias("rank_prediction"), "bucket"))
 
 
 # selection
@@ -137,6 +153,24 @@ def decay_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("horizon", "bucket", grid("mean_label").alias("mean_label"), "rows")
 
 
+def decay_top_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest and highest bucket of the decay curve per horizon."""
+    out = decay_ends(decay(scored(spark, sf_dir), "mom_21_ex1", {h: f"label_excess_{h}d_oo" for h in (1, 5, 10, 20)}))
+    return out.select("horizon", grid("bottom").alias("bottom"), grid("top").alias("top"))
+
+
+def ic_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rolling_ic(daily_ic(scored(spark, sf_dir), "mom_21_ex1", LABEL))
+    return _day(out.select("date", grid("rolling_rank_ic").alias("rolling_rank_ic")))
+
+
+def predictions_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores in long form, pivoted to one column a model."""
+    long = unpivoted(feature_base(spark, sf_dir), ("mom_21_ex1", "rev_1", "ret_5"), ["date", "security_id"], "model_name", "raw_prediction")
+    out = wide_predictions(long, ("mom_21_ex1", "rev_1", "ret_5"))
+    return _day(out.select("date", "security_id", *(grid(c).alias(c) for c in ("mom_21_ex1", "rev_1", "ret_5"))))
+
+
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily return of the top quintile less the bottom one."""
     rows = scored(spark, sf_dir).withColumn("b", quantile_bucket("mom_21_ex1", 5, "date")).where("b IN (0, 4) AND label_raw_1d_oo IS NOT NULL")
@@ -188,10 +222,16 @@ def hyper_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model_name", "trials", *(grid(c).alias(c) for c in ("best", "median", "best_less_median", "top_two_gap")))
 
 
+def model_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each price feature as a hypothesis: mean rank IC, days and one-sided p of each year."""
+    long = unpivoted(scored(spark, sf_dir), ("mom_21_ex1", "rev_1", "ret_5", "vol_21"), ["date", LABEL])
+    out = hypotheses(daily_ic(long, "prediction", LABEL, "hypothesis").withColumn("year", F.year("date")), "year", "hypothesis")
+    return out.select("year", "hypothesis", grid("rank_ic_mean").alias("rank_ic_mean"), "days", grid("p").alias("p"))
+
+
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """False-discovery control over the absolute scores as stand-in p-values: the machinery, on data that both engines can follow."""
-    rows = _trials(spark, sf_dir).select("hypothesis", "year", grid(F.abs("score")).alias("p"))
-    out = fdr(rows, "year", "p", 0.2)
+    """False-discovery control over the hypotheses' p-values, by year."""
+    out = fdr(model_hypotheses(spark, sf_dir).select("hypothesis", "year", "p"), "year", "p", 0.2)
     return out.select("year", "hypothesis", "p", "rank", grid("threshold").alias("threshold"), "rejected")
 
 
@@ -213,6 +253,7 @@ def coverage_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fold_role_matrix, fold_sizes, fold_overlaps, score_heuristics, ridge_scores, linear_models, boosted_scores, oof_ridge, score_ranks, trade_list, ic_daily, ic_by_regime, decay_curve,
+    validation_protocol, ic_rolling, decay_top_bottom, predictions_wide, model_hypotheses,
     portfolio_metrics, return_moments, aum_path, prediction_correlations, stability, hyper_sensitivity, bh_fdr, ablation_deltas, universe_size, coverage_heatmap,
 )}
 
@@ -260,6 +301,25 @@ dd AS (SELECT *, equity / greatest(1.0, max(equity) OVER (ORDER BY date)) - 1 AS
 _NAMES = ("mom_21_ex1", "rev_1", "ret_5", "vol_21")
 _TRIALS = f"WITH {SCORED}, " + ", ".join(_ic(c, f"t{i}") for i, c in enumerate(_NAMES)) + ", tr AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS hypothesis, year(date) AS year, avg(rank_ic) AS score FROM t{i} GROUP BY 2" for i, c in enumerate(_NAMES)) + ")"
+_HYPOTHESES = f"WITH {SCORED}, " + ", ".join(_ic(c, f"t{i}") for i, c in enumerate(_NAMES)) + ", hd AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS hypothesis, year(date) AS year, rank_ic AS r FROM t{i}" for i, c in enumerate(_NAMES)
+) + f"""), ht AS (SELECT year, hypothesis, avg(r) AS m, count(r) AS days, CASE WHEN count(r) >= 2 AND stddev_samp(r) > 1e-12 THEN avg(r) / (stddev_samp(r) / sqrt(count(r))) END AS t FROM hd GROUP BY 1, 2),
+hy AS (SELECT *, 1 - ({normal_cdf_sql('t')}) AS p FROM ht)"""
+
+
+def _protocol(name: str, where: str) -> str:
+    end = f"session_no + 1 + {_S.horizon}"
+    cells = {
+        "no_overlap": "count(*) FILTER (WHERE times > 1)", "min_sample_sizes": "(count(*) < 310)::BIGINT",
+        "purge_validity": f"count(*) FILTER (WHERE (role = 'train' AND {end} >= v) OR (role = 'valid' AND {end} >= t))",
+        "embargo_validity": f"coalesce((v - max(session_no) FILTER (WHERE role = 'train') <= {_S.embargo})::BIGINT, 0) + coalesce((t - max(session_no) FILTER (WHERE role = 'valid') <= {_S.embargo})::BIGINT, 0)",
+        "calendar_contiguity": "count(*) FILTER (WHERE (role = 'train' AND session_no >= v) OR (role = 'valid' AND session_no >= t))",
+        "label_window_separation": f"count(*) FILTER (WHERE role = 'train' AND ({end} >= v OR {end} >= t))",
+    }
+    rows = " UNION ALL ".join(f"SELECT fold, '{c}' AS check, {x}::BIGINT AS violations, '{name}' AS scope FROM pd_{name} GROUP BY fold, v, t" for c, x in cells.items())
+    return f"pd_{name} AS (SELECT fr.*, v, t, count(*) OVER (PARTITION BY fold, fr.session_date) AS times FROM fr JOIN fb0 USING (fold) WHERE {where}), pr_{name} AS ({rows})"
+
+
 _PAIRS = [(a, b) for a in _NAMES[:3] for b in _NAMES[:3]]
 SQL = {
     "fold_role_matrix": f"WITH {_ROLES} SELECT fold, strftime(session_date, '%Y-%m-%d') AS date, role, drop_reason FROM fr",
@@ -299,8 +359,23 @@ SELECT 'momentum' AS model_name, count(*) AS folds, {grid_sql('avg(v)')} AS mean
     "hyper_sensitivity": f"""{_TRIALS}, s AS (SELECT year, score, row_number() OVER (PARTITION BY year ORDER BY score DESC) AS k FROM tr)
 SELECT year::VARCHAR AS model_name, count(score) AS trials, {grid_sql('max(score)')} AS best, {grid_sql('median(score)')} AS median, {grid_sql('max(score) - median(score)')} AS best_less_median,
   {grid_sql('max(score) FILTER (WHERE k = 1) - max(score) FILTER (WHERE k = 2)')} AS top_two_gap FROM s GROUP BY 1""",
-    "bh_fdr": f"""{_TRIALS}, p AS (SELECT hypothesis, year, {grid_sql('abs(score)')} AS p FROM tr), k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY p NULLS LAST, hypothesis) AS rank, count(*) OVER (PARTITION BY year) AS m FROM p)
+    "model_hypotheses": f"{_HYPOTHESES} SELECT year, hypothesis, {grid_sql('m')} AS rank_ic_mean, days, {grid_sql('p')} AS p FROM hy",
+    "bh_fdr": f"""{_HYPOTHESES}, p AS (SELECT hypothesis, year, {grid_sql('p')} AS p FROM hy), k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY p NULLS LAST, hypothesis) AS rank, count(*) OVER (PARTITION BY year) AS m FROM p)
 SELECT year, hypothesis, p, rank, {grid_sql('rank / m * 0.2::DOUBLE')} AS threshold, coalesce(p <= rank / m * 0.2::DOUBLE, false) AS rejected FROM k""",
+    "ic_rolling": f"""{_IC} SELECT strftime(date, '%Y-%m-%d') AS date, {grid_sql('CASE WHEN count(rank_ic) OVER w >= 3 THEN avg(rank_ic) OVER w END')} AS rolling_rank_ic FROM ic
+  WINDOW w AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)""",
+    "decay_top_bottom": f"WITH {SCORED}, bk AS (SELECT *, {_bucket('mom_21_ex1')} AS bucket FROM sc), dc AS ("
+    + " UNION ALL ".join(f"SELECT {h} AS horizon, bucket, avg(label_excess_{h}d_oo) AS y FROM bk WHERE bucket IS NOT NULL GROUP BY 2" for h in (1, 5, 10, 20))
+    + f") SELECT horizon, {grid_sql('arg_min(y, bucket)')} AS bottom, {grid_sql('arg_max(y, bucket)')} AS top FROM dc GROUP BY 1",
+    "predictions_wide": f"WITH {LABEL_CTE} SELECT strftime(date, '%Y-%m-%d') AS date, security_id, {', '.join(f'{grid_sql(c)} AS {c}' for c in _NAMES[:3])} FROM px",
+    "validation_protocol": f"WITH {_ROLES}, " + ", ".join(_protocol(n, w) for n, w in (("kept", "drop_reason IS NULL"), ("raw", "true"))) + " SELECT * FROM pr_kept UNION ALL SELECT * FROM pr_raw",
+    "oof_ridge": f"""WITH {SCORED}, {_ROLES}, tn AS (SELECT fold, mom_21_ex1 a, rev_1 b, {LABEL} y FROM sc JOIN fr ON fr.session_date = sc.date WHERE role = 'train' AND drop_reason IS NULL
+  AND mom_21_ex1 IS NOT NULL AND rev_1 IS NOT NULL AND {LABEL} IS NOT NULL),
+g AS (SELECT fold, avg(a) ma, avg(b) mb, avg(y) my, var_pop(a) * count(*) + 1 aa, var_pop(b) * count(*) + 1 bb, covar_pop(a, b) * count(*) ab, covar_pop(a, y) * count(*) ay, covar_pop(b, y) * count(*) yb FROM tn GROUP BY 1),
+m AS (SELECT fold, ma, mb, my, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS c1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS c2 FROM g),
+s AS (SELECT security_id, date, fold, my - ma * c1 - mb * c2 + c1 * coalesce(mom_21_ex1, 0) + c2 * coalesce(rev_1, 0) AS score FROM sc JOIN fr ON fr.session_date = sc.date JOIN m USING (fold) WHERE role = 'test'),
+r AS (SELECT *, row_number() OVER (PARTITION BY fold, date ORDER BY score, security_id) / count(*) OVER (PARTITION BY fold, date) AS k FROM s)
+SELECT security_id, strftime(date, '%Y-%m-%d') AS date, fold, {grid_sql('score')} AS score, {grid_sql('k')} AS rank_prediction, least(floor(k * 10), 9)::INT AS bucket FROM r""",
     "ablation_deltas": f"{_TRIALS} SELECT year, hypothesis, {grid_sql('score - first_value(score) OVER (PARTITION BY year ORDER BY hypothesis)')} AS score_delta FROM tr",
     "universe_size": "WITH u AS (SELECT date, security_id, bool_or(is_in_universe) AS i FROM universe_snapshot GROUP BY 1, 2) SELECT strftime(date, '%Y-%m-%d') AS date, count(*) AS rows, count(*) FILTER (WHERE i) AS inside FROM u GROUP BY 1",
     "coverage_heatmap": f"WITH {LABEL_CTE} SELECT sector, strftime(date, '%Y-%m') AS month, count(mom_21_ex1) AS present, count(*) AS rows, {grid_sql('count(mom_21_ex1) / count(*)')} AS coverage FROM px LEFT JOIN sx USING (security_id) GROUP BY 1, 2",

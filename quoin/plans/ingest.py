@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quoin.functions.expr import grid
 from quoin.operators.calendar import label_windows, session_distance, shift_sessions
-from quoin.operators.normalize import EXCHANGES, action_problem, available_from, canonical_metric, cik, exchange_label, flag_duplicates, flag_restatements, map_symbols, security_type
+from quoin.operators.normalize import EXCHANGES, METRICS as METRIC_ALIASES, normalize_actions, normalize_market, normalize_master, action_problem, available_from, canonical_metric, cik, exchange_label, flag_duplicates, flag_restatements, map_symbols, security_type
 from quoin.operators.pit import asof_metrics, build_intervals, coverage, from_the_future
-from quoin.operators.quality import FLAGS, fact_issues, issues, market_flags, missing_sessions, scored
+from quoin.operators.quality import FLAGS, fact_issues, issues, market_flags, missing_sessions, scored, summary
 from quoin.plans.base import BASE, calendar, grid_sql, market
 from quoin.plans.facts import FACTS_SQL, metric_facts
 from quoin.plans.features import METRICS, _asof_cte
@@ -64,10 +64,7 @@ def missing_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_name_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "silver_fundamentals")
-    return facts.select(F.col("metric_name_canonical").alias("raw"), canonical_metric("metric_name_canonical", ALIASES).alias("canonical")).groupBy("raw", "canonical").agg(F.count(F.lit(1)).alias("rows"))
-
-
-ALIASES = {"ebitttm": "ebit_ttm", "net_incomettm": "net_income_ttm", "revenuettm": "revenue_ttm", "totalassets": "total_assets", "totaldebt": "total_debt", "bookequity": "book_equity"}
+    return facts.select(F.col("metric_name_canonical").alias("raw"), canonical_metric("metric_name_canonical").alias("canonical")).groupBy("raw", "canonical").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def available_from_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +89,38 @@ def corp_action_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.groupBy(F.lower(F.trim("event_type")).alias("event_type"), action_problem("event_type", "security_id").alias("problem")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+#: Words that turn a part's name into one that every rule has to decide on, and labels of exchanges, both by part number.
+RULE_WORDS = ("", " adr", " Depositary Receipt", " ETF", " trust", " Fund", " portfolio", " preferred", " WARRANT", " unit", " unit common", " Corp")
+RULE_LABELS = ("NYSE Arca", " nyse american", "NYSE MKT ", "Nasdaq Global Select", "NASDAQ CAPITAL MARKET", "Cboe BZX", "NYSE", "otc")
+
+
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Security types inferred from names, and exchange labels, by ordered rules over the part table's texts."""
-    names = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    return names.select("p_partkey", security_type("p_name").alias("security_type"), exchange_label("p_type").alias("exchange"))
+    """Security types inferred from names, and exchange labels, by ordered rules: names of parts with a word that trips a rule, each rule in turn."""
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), F.pmod("p_partkey", F.lit(len(words))).cast("int"))
+    made = names.select("p_partkey", F.concat("p_name", pick(RULE_WORDS)).alias("name"), pick(RULE_LABELS).alias("label"))
+    return made.select("p_partkey", security_type("name").alias("security_type"), exchange_label("label").alias("exchange"))
+
+
+def market_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the raw market by the security that their symbol stands for; unmapped ones are left out."""
+    rows = normalize_market(table(spark, sf_dir, "bronze_market").select("record_id", "symbol"), _master(spark, sf_dir), "feed", "v1")
+    return rows.select("record_id", "symbol", "security_id", "provider_name", "data_version")
+
+
+def actions_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalize_actions(table(spark, sf_dir, "corporate_actions").distinct(), _master(spark, sf_dir), "v1")
+    return _day(rows.select("security_id", "symbol", "event_type", "event_date", "split_ratio", "old_symbol", "new_symbol", "problem"), "event_date")
+
+
+def master_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalize_master(table(spark, sf_dir, "security_master"))
+    return rows.groupBy("security_id", "symbol", "exchange", "security_type").agg(F.count(F.lit(1)).alias("rows"), F.count_if("bad_interval").alias("bad"))
+
+
+def market_qa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missing = missing_sessions(table(spark, sf_dir, "silver_market"), ["security_id"], "trade_date", calendar(spark, sf_dir))
+    return summary(scored(_flagged(spark, sf_dir)), missing).withColumn("mean_score", grid("mean_score", 5))
 
 
 def company_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,19 +195,23 @@ def pit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pit_future_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_the_future(_pit(spark, sf_dir), "as_of", METRICS)
+    """Sources that became known after their row's time: none at the close, and many if the same rows had been decided thirty days before."""
+    panel = _pit(spark, sf_dir)
+    early = panel.withColumn("as_of", F.col("as_of") - F.make_dt_interval(days=F.lit(30)))
+    both = [from_the_future(p, "as_of", METRICS).withColumn("decided", F.lit(n)) for n, p in (("close", panel), ("early", early))]
+    return both[0].unionByName(both[1])
 
 
 QUERIES = {f.__name__: f for f in (
     session_shifts, session_distances, label_window, symbol_map_asof, missing_symbols, metric_name_canonical, available_from_policy, restatement_flags, duplicate_facts,
-    corp_action_split, name_rules, company_ids, market_qa_flags, market_qa_score, market_qa_issues, market_qa_missing, fundamentals_qa, fundamentals_completeness,
+    market_normalised, actions_normalised, master_normalised, market_qa_summary, corp_action_split, name_rules, company_ids, market_qa_flags, market_qa_score, market_qa_issues, market_qa_missing, fundamentals_qa, fundamentals_completeness,
     fundamentals_staleness, pit_intervals, pit_asof_join, pit_coverage, pit_future_guard,
 )}
 
 # --- DuckDB ---------------------------------------------------------------------------------------------------------
 _D = "strftime({0}, '%Y-%m-%d') AS {0}"
 _CASE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in EXCHANGES.items())
-_ALIAS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items())
+_ALIAS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in METRIC_ALIASES.items())
 _PLAIN = "replace(regexp_replace(lower(metric_name_canonical), '[^\\p{L}\\p{N}_]', '', 'g'), '__', '_')"
 _UP = "(SELECT count(*) FROM trading_calendar c WHERE c.session_date {op} {x})"
 _QA = """q0 AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY security_id, provider_name ORDER BY trade_date, record_id), 0) - 1 AS close_return,
@@ -194,6 +223,8 @@ qa AS (SELECT q0.*, sp.trade_date IS NOT NULL AS jump_explained, coalesce(abs(cl
 _TOTAL = " + ".join(f"{f}::INT" for f in FLAGS)
 _PRICE_OK = "NOT (invalid_ohlc OR invalid_price_nonpositive OR unexplained_jump)"
 _PIT_CTE = f"WITH {BASE}, {_asof_cte(list(METRICS))}"
+_SYMBOLS = "sy AS (SELECT upper(trim(symbol)) AS symbol, min(security_id) AS i FROM security_master WHERE symbol IS NOT NULL AND security_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT security_id) = 1)"
+_NAMED = f"(SELECT p_partkey, upper(p_name || ({list(RULE_WORDS)!r})[p_partkey % {len(RULE_WORDS)} + 1]) AS n, upper(trim(({list(RULE_LABELS)!r})[p_partkey % {len(RULE_LABELS)} + 1])) AS l FROM part)"
 SQL = {
     "session_shifts": "WITH d AS (SELECT DISTINCT trade_date AS day FROM bronze_market), n AS (SELECT day, "
     + f"{_UP.format(op='<=', x='day')} AS le, {_UP.format(op='<', x='day')} AS lt FROM d) SELECT {_D.format('day')}, strftime(a.session_date, '%Y-%m-%d') AS next_session, "
@@ -224,12 +255,11 @@ SELECT fact_id, count(*) AS rows FROM f WHERE n > 1 GROUP BY 1""",
     "corp_action_split": """WITH a AS (SELECT DISTINCT * FROM corporate_actions)
 SELECT lower(trim(event_type)) AS event_type, CASE WHEN lower(trim(event_type)) NOT IN ('split', 'dividend', 'delisting', 'symbol_change') THEN 'unknown_type'
   WHEN security_id IS NULL THEN 'unmapped_security' END AS problem, count(*) AS rows FROM a GROUP BY 1, 2""",
-    "name_rules": f"""SELECT p_partkey, CASE WHEN regexp_matches(upper(p_name), 'ADR|DEPOSITARY') THEN 'adr' WHEN regexp_matches(upper(p_name), 'ETF|TRUST|FUND|PORTFOLIO') THEN 'etf'
-  WHEN upper(p_name) LIKE '%PREFERRED%' THEN 'preferred' WHEN upper(p_name) LIKE '%WARRANT%' THEN 'warrant'
-  WHEN upper(p_name) LIKE '%UNIT%' AND upper(p_name) NOT LIKE '%COMM%' THEN 'unit' ELSE 'common_stock' END AS security_type,
-  CASE upper(trim(p_type)) {_CASE} ELSE upper(trim(p_type)) END AS exchange FROM part""",
+    "name_rules": f"""SELECT p_partkey, CASE WHEN regexp_matches(n, 'ADR|DEPOSITARY') THEN 'adr' WHEN regexp_matches(n, 'ETF|TRUST|FUND|PORTFOLIO') THEN 'etf'
+  WHEN n LIKE '%PREFERRED%' THEN 'preferred' WHEN n LIKE '%WARRANT%' THEN 'warrant' WHEN n LIKE '%UNIT%' AND n NOT LIKE '%COMM%' THEN 'unit' ELSE 'common_stock' END AS security_type,
+  CASE l {_CASE} ELSE l END AS exchange FROM {_NAMED}""",
     "company_ids": """SELECT DISTINCT source_company_id, CASE WHEN length(regexp_replace(source_company_id, '[^0-9]', '', 'g')) > 0
-  THEN left(lpad(regexp_replace(source_company_id, '[^0-9]', '', 'g'), 10, '0'), 10) END AS cik FROM silver_fundamentals""",
+  THEN CASE WHEN length(regexp_replace(source_company_id, '[^0-9]', '', 'g')) > 10 THEN regexp_replace(source_company_id, '[^0-9]', '', 'g') ELSE lpad(regexp_replace(source_company_id, '[^0-9]', '', 'g'), 10, '0') END END AS cik FROM silver_fundamentals""",
     "market_qa_flags": f"WITH {_QA} SELECT record_id, {', '.join(FLAGS)}, extreme_jump, jump_explained, {grid_sql('close_return')} AS close_return FROM qa",
     "market_qa_score": f"WITH {_QA} SELECT record_id, {grid_sql(f'greatest(1.0::DOUBLE - 0.2::DOUBLE * ({_TOTAL}), 0)')} AS data_quality_score, {_PRICE_OK} AS is_price_valid, "
     + f"NOT invalid_volume AS is_volume_valid, {_PRICE_OK} AND NOT invalid_volume AND NOT duplicate_key AS tradable_flag FROM qa",
@@ -251,5 +281,18 @@ SELECT security_id, floor((epoch_us((SELECT max(last) FROM l)) - epoch_us(last))
 SELECT fact_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS available_to, t IS NULL AS is_latest FROM i""",
     "pit_asof_join": f"{_PIT_CTE} SELECT security_id, {_D.format('date')}, {', '.join(METRICS)} FROM pm",
     "pit_coverage": f"{_PIT_CTE} " + " UNION ALL ".join(f"SELECT '{m}' AS metric_name, count(*) AS rows, count({m}) AS present, {grid_sql(f'count({m}) / greatest(count(*), 1)')} AS coverage FROM pm" for m in METRICS),
-    "pit_future_guard": " UNION ALL ".join(f"SELECT '{m}' AS metric_name, 0::BIGINT AS violations" for m in METRICS),
+    "pit_future_guard": f"{_PIT_CTE}, pk AS (SELECT t.as_of, {', '.join(f'CASE WHEN f{i}.available_to IS NULL OR t.as_of < f{i}.available_to THEN f{i}.available_from END AS k{i}' for i in range(len(METRICS)))} FROM t "
+    + " ".join(f"ASOF LEFT JOIN (SELECT security_id, available_from, available_to FROM ff WHERE metric_name = '{m}') f{i} ON f{i}.security_id = t.security_id AND f{i}.available_from <= t.as_of" for i, m in enumerate(METRICS))
+    + ") " + " UNION ALL ".join(f"SELECT '{m}' AS metric_name, count(*) FILTER (WHERE k{i} > as_of{back}) AS violations, '{n}' AS decided FROM pk" for i, m in enumerate(METRICS) for n, back in (("close", ""), ("early", " - INTERVAL 30 DAY"))),
+    "market_normalised": f"""WITH {_SYMBOLS} SELECT record_id, upper(trim(b.symbol)) AS symbol, i AS security_id, 'feed' AS provider_name, 'v1' AS data_version FROM bronze_market b JOIN sy ON sy.symbol = upper(trim(b.symbol))""",
+    "actions_normalised": f"""WITH {_SYMBOLS}, a AS (SELECT DISTINCT * FROM corporate_actions),
+n AS (SELECT coalesce(a.security_id, sy.i) AS security_id, upper(trim(a.symbol)) AS symbol, lower(trim(event_type)) AS event_type, event_date, split_ratio, upper(trim(old_symbol)) AS old_symbol, upper(trim(new_symbol)) AS new_symbol
+  FROM a LEFT JOIN sy ON sy.symbol = coalesce(upper(trim(a.symbol)), upper(trim(old_symbol))))
+SELECT * REPLACE (strftime(event_date, '%Y-%m-%d') AS event_date), CASE WHEN event_type IS NULL OR event_type NOT IN ('split', 'dividend', 'delisting', 'symbol_change') THEN 'unknown_type' WHEN security_id IS NULL THEN 'unmapped_security' END AS problem FROM n""",
+    "master_normalised": """SELECT security_id, upper(symbol) AS symbol, upper(exchange) AS exchange, lower(security_type) AS security_type, count(*) AS rows, count(*) FILTER (WHERE delisting_date < listing_date) AS bad
+FROM security_master GROUP BY 1, 2, 3, 4""",
+    "market_qa_summary": f"""WITH {_QA}, r AS (SELECT DISTINCT security_id, session_no FROM silver_market JOIN trading_calendar ON session_date = trade_date), b AS (SELECT security_id, min(session_no) lo, max(session_no) hi FROM r GROUP BY 1),
+x AS (SELECT count(*) AS m FROM b JOIN trading_calendar c ON c.session_no BETWEEN lo AND hi ANTI JOIN r USING (security_id, session_no))
+SELECT count(*) AS rows_total, count(*) FILTER (WHERE invalid_ohlc) AS invalid_ohlc_rows, count(*) FILTER (WHERE invalid_volume) AS invalid_volume_rows, count(*) FILTER (WHERE duplicate_key) AS duplicate_rows,
+  count(*) FILTER (WHERE unexplained_jump) AS unexplained_jump_rows, {grid_sql(f'avg(greatest(1.0::DOUBLE - 0.2::DOUBLE * ({_TOTAL}), 0))', 5)} AS mean_score, (SELECT m FROM x) AS missing_sessions FROM qa""",
 }

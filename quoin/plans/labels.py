@@ -11,7 +11,7 @@ from quoin.operators.labels import HORIZONS, forward_labels, gold, sanity
 from quoin.operators.preprocess import Winsorizer, beta_neutral, percentile_rank, robust_zscore, sector_neutral, zscore
 from quoin.plans.base import benchmark, grid_sql, market, sectors
 from quoin.plans.features import PRICE_CTE
-from quoin.session import table
+from quoin.session import cut, table
 
 CONTINUOUS = [f"label_{k}_{h}d_oo" for k in ("raw", "excess", "resid") for h in HORIZONS]
 CLASSES = [f"label_{k}_{h}d" for k in ("binary_top_bottom", "multiclass_quantile") for h in HORIZONS]
@@ -60,6 +60,7 @@ def _prepared(op):
 
 
 def _winsorize(base: DataFrame) -> DataFrame:
+    base = cut(base)  # read by each pass of the fit
     return Winsorizer(["ret_5"], 0.01, 0.99).fit(base.where(F.col("date") < TRAIN_END)).transform(base).withColumn("x", F.col("ret_5"))
 
 

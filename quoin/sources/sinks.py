@@ -10,6 +10,8 @@ from html import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoin.session import cut
+
 
 def write_table(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite") -> None:
     writer = df.write.mode(mode).option("compression", "zstd")
@@ -35,7 +37,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def write_split(df: DataFrame, problem, good: str, bad: str) -> None:
     """Rows without a problem to ``good``, the others with it to ``bad``."""
-    flagged = df.withColumn("problem", problem)
+    flagged = cut(df.withColumn("problem", problem))  # computed once
     write_table(flagged.where("problem IS NULL").drop("problem"), good)
     write_table(flagged.where("problem IS NOT NULL"), bad)
 
@@ -69,6 +71,14 @@ def lineage(df: DataFrame) -> dict:
     return {"rows": df.count(), "content_hash": content_hash(df), "schema_hash": schema_hash(df), "columns": df.columns}
 
 
+def profile(df: DataFrame) -> DataFrame:
+    """(column_name, rows, nulls) of every column, from one scan."""
+    n = F.count(F.lit(1))
+    one = df.agg(n.alias("rows_"), *((n - F.count(c)).alias(f"n{i}") for i, c in enumerate(df.columns)))
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("rows_").alias("rows"), F.col(f"n{i}").alias("nulls")) for i, c in enumerate(df.columns)))
+    return one.select(F.explode(cells).alias("c")).select("c.*")
+
+
 def dataset_id(layer: str, version: str, df: DataFrame) -> str:
     return f"{layer}__{version}__{content_hash(df)[:12]}__{schema_hash(df)[:12]}"
 
