@@ -28,35 +28,53 @@ SHARD, GOOD = 8_000, 0.98
 
 
 def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Container number of each item; ``sizes``: items x limits, none beyond ``limits``."""
+    """Container number of each item; ``sizes``: items x limits, none beyond ``limits``.
+
+    Items of equal sizes are one shape; shapes lie in order of their first size, so those that fit by it are a prefix, which a step reads without
+    copying it. Shapes used up are marked, and dropped once they are half of all."""
     shapes, shape_of = np.unique(sizes, axis=0, return_inverse=True)
     shape_of = shape_of.reshape(-1)
     order = np.argsort(shape_of, kind="stable")
     stop = np.cumsum(np.bincount(shape_of, minlength=len(shapes)))
     taken = np.concatenate([[0], stop[:-1]])
-    share = shapes / limits
     out = np.full(len(sizes), -1, dtype=np.int64)
-    left, container = len(sizes), 0
-    alive = np.arange(len(shapes))
+    limits = np.asarray(limits, dtype=float)
+    rest = range(1, len(limits))
+    left, container, live, dead = len(sizes), 0, np.arange(len(shapes)), 0
+    columns = [np.ascontiguousarray(c, dtype=float) for c in shapes.T]
+    shares = [c / m for c, m in zip(columns, limits)]
+    most, gone = [np.maximum.accumulate(c) for c in columns], np.zeros(len(shapes))
+    vary = [j for j, c in enumerate(columns) if len(c) and c.min() != c.max()]  # what is the same for all decides nothing
     while left:
-        room = limits.astype(float).copy()
-        fits = alive
-        while len(fits):
-            best = fits[int(np.argmax(share[fits] @ (room / limits)))]
-            most = stop[best] - taken[best]
-            with np.errstate(divide="ignore"):
-                room_for = np.floor(np.min(np.where(shapes[best] > 0, room / np.maximum(shapes[best], 1e-9), np.inf)) + 1e-9)
-            # one at a time: the room's direction changes; several only where the shape would win again anyway
-            n = int(min(most, room_for)) if len(fits) == 1 else 1
-            out[order[taken[best] : taken[best] + n]] = container
-            taken[best] += n
-            room -= n * shapes[best]
-            left -= n
-            if taken[best] == stop[best]:
-                fits = fits[fits != best]
-            fits = fits[np.all(shapes[fits] <= room + 1e-9, axis=1)]
-        alive = alive[taken[alive] < stop[alive]]
+        room = limits.copy()
+        while True:
+            n = int(np.searchsorted(columns[0], room[0] + 1e-9, "right"))
+            if not n:
+                break
+            score = gone[:n].copy()
+            for j in vary:
+                score += shares[j][:n] * (room[j] / limits[j])
+            for j in rest:
+                if most[j][n - 1] > room[j] + 1e-9:
+                    score[columns[j][:n] > room[j] + 1e-9] = -np.inf
+            best = int(np.argmax(score))
+            if score[best] == -np.inf:
+                break
+            shape = live[best]
+            out[order[taken[shape]]] = container
+            taken[shape] += 1
+            left -= 1
+            for j in range(len(limits)):
+                room[j] -= columns[j][best]
+            if taken[shape] == stop[shape]:
+                gone[best] = -np.inf
+                dead += 1
         container += 1
+        if 2 * dead > len(live):
+            keep = gone == 0
+            live, gone, dead = live[keep], gone[keep], 0
+            columns, shares = [c[keep] for c in columns], [c[keep] for c in shares]
+            most = [np.maximum.accumulate(c) for c in columns]
     return out
 
 
