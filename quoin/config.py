@@ -35,6 +35,9 @@ class Preprocessing:
 class Model:
     name: str = "ridge"
     alphas: tuple[float, ...] = (0.1, 1.0, 10.0)
+    l1_ratios: tuple[float, ...] = (0.2, 0.5, 0.8)
+    trials: int = 16
+    seed: int = 42
     features: tuple[str, ...] = ("mom_21_ex1", "rev_1", "vol_21", "ret_5")
     label: str = "label_excess_5d_oo"
 
@@ -80,3 +83,11 @@ def load_config(paths: Sequence[str] = (), strict: bool = True) -> tuple[Config,
                 merged[section] = {**merged.get(section, {}), **values} if isinstance(values, dict) else values
     warnings: list[str] = []
     return _build(Config, merged, "config", strict, warnings), warnings
+
+
+def snapshot(config: Config) -> dict:
+    """The settings as they were, flat, with their hash and the type of each, as a run keeps them."""
+    values: dict[str, Any] = {}
+    for section, own in asdict(config).items():
+        values |= {f"{section}.{k}": v for k, v in own.items()}
+    return {"values": values, "types": {k: type(v).__name__ for k, v in values.items()}, "hash": config.hash}

@@ -10,7 +10,7 @@ from quoin.operators.evaluate import aum_returns, correlation_matrix, daily_ic,
 from quoin.operators.labels import forward_labels
 from quoin.operators.models import BoostedStumps, blend_score, decile, elastic_net, gram, gram_of, momentum_score, random_score, rank_target, reversal_score, ridge, segment_products
 from quoin.operators.splits import WalkForward, fold_roles, fold_summary, overlapping, protocol, segments
-from quoin.plans.base import benchmark, calendar, grid_sql, normal_cdf_sql, universe
+from quoin.plans.base import benchmark, calendar, grid_sql, normal_cdf_sql, sectors, universe
 from quoin.plans.features import FUND_CTE
 from quoin.plans.labels import LABEL_CTE, TRAIN_END, feature_base
 from quoin.plans.features import pit_panel
@@ -29,6 +29,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forward_labels(feature_base(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price features, ratios of the facts known at the close, sectors and labels of every market row."""
+    rows = with_price_features(with_fundamentals(pit_panel(spark, sf_dir)), benchmark(spark, sf_dir)).join(sectors(spark, sf_dir), "security_id", "left")
+    return forward_labels(rows, benchmark(spark, sf_dir))
+
+
 def _day(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in columns or ("date",)})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +30,11 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
         out.close()
 
 
+def read_json(spark: SparkSession, path: str) -> dict:
+    """One small document, through the cluster's file system."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -83,26 +88,40 @@ def dataset_id(layer: str, version: str, df: DataFrame) -> str:
     return f"{layer}__{version}__{content_hash(df)[:12]}__{schema_hash(df)[:12]}"
 
 
-def line_chart(series: dict[str, Sequence[float]], title: str, width: int = 640, height: int = 240) -> str:
-    """A small SVG of a few series of collected numbers."""
-    values = [v for s in series.values() for v in s if v == v]
-    low, high = (min(values), max(values)) if values else (0.0, 1.0)
-    spread = (high - low) or 1.0
-    lines = []
-    for i, (name, s) in enumerate(series.items()):
-        points = " ".join(f"{20 + k * (width - 40) / max(1, len(s) - 1):.1f},{height - 20 - (v - low) / spread * (height - 50):.1f}" for k, v in enumerate(s) if v == v)
-        lines.append(f'<polyline fill="none" stroke="hsl({i * 67 % 360},60%,45%)" points="{points}"><title>{escape(name)}</title></polyline>')
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="20" y="20">{escape(title)}</text>{"".join(lines)}</svg>'
+#: Rows of a result table that a report holds; a longer table says how many it has.
+REPORT_ROWS = 200
+
+
+def _shown(body: DataFrame) -> tuple[list, str]:
+    rows = body.limit(REPORT_ROWS + 1).collect()
+    return rows[:REPORT_ROWS], f"{body.count()} rows; the first {REPORT_ROWS} are shown" if len(rows) > REPORT_ROWS else ""
 
 
-def markdown(sections: dict[str, str | DataFrame], rows: int = 50) -> str:
-    """A report of texts and the first rows of result tables."""
+def markdown(sections: dict[str, str | DataFrame]) -> str:
+    """A report of texts and result tables."""
     out = []
     for title, body in sections.items():
         out.append(f"## {title}\n")
         if isinstance(body, str):
             out.append(body)
         else:
-            out += ["| " + " | ".join(body.columns) + " |", "|" + "---|" * len(body.columns)] + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in body.limit(rows).collect()]
+            rows, note = _shown(body)
+            out += ["| " + " | ".join(body.columns) + " |", "|" + "---|" * len(body.columns)] + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
+            if note:
+                out += ["", note]
         out.append("")
     return "\n".join(out)
+
+
+def html_report(sections: dict[str, str | DataFrame], figures: dict[str, str]) -> str:
+    """The same sections as a page, with the figures after them."""
+    out = ["<!doctype html><meta charset='utf-8'><title>Report</title>"]
+    for title, body in sections.items():
+        out.append(f"<h2>{escape(title)}</h2>")
+        if isinstance(body, str):
+            out.append(f"<pre>{escape(body)}</pre>")
+        else:
+            rows, note = _shown(body)
+            cells = lambda kind, values: "<tr>" + "".join(f"<{kind}>{escape('' if v is None else str(v))}</{kind}>" for v in values) + "</tr>"
+            out.append("<table>" + cells("th", body.columns) + "".join(cells("td", r) for r in rows) + f"</table>{escape(note)}")
+    return "\n".join([*out, *figures.values()])

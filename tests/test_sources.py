@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql.types import StructType
 
 from quoin.operators.calendar import calendar_frame
+from quoin.sources.figures import bars, heat_map, lines
 from quoin.sources.local import coerce, read_table, select_rows, synthetic_market, validate
 from quoin.sources.paged import Page, PagedSource, ProviderError, pages, pick_adapter, request_key, with_retries
 from quoin.sources.payloads import chart_actions, chart_prices, company_facts, csv_prices, listing_master
-from quoin.sources.sinks import content_hash, dataset_id, ingest_once, line_chart, markdown, schema_hash, write_split
+from quoin.sources.sinks import content_hash, dataset_id, html_report, ingest_once, markdown, read_json, schema_hash, write_json, write_split
 
 
 def payload(spark, value):
@@ -98,7 +99,10 @@ def test_ingest_runs_once_and_hashes_ignore_order(spark, tmp_path):
     assert content_hash(df) != content_hash(df.distinct()) and schema_hash(df) != schema_hash(df.drop("v"))
     assert dataset_id("gold", "v1", df).startswith("gold__v1__")
     write_split(df, df.s.isNull().cast("string"), str(tmp_path / "good"), str(tmp_path / "bad"))
-    assert "<svg" in line_chart({"a": [1.0, 2.0, float("nan")]}, "t<") and "| 1 | a |" in markdown({"t": df, "u": "text"})
+    assert "&lt;" in lines({"a": [1.0, 2.0, float("nan")]}, "t<") and "<rect" in bars({"x": 1.0, "y": None, "z": -2.0}, "b") and "<rect" in heat_map(["c"], {"r": [0.5]}, "h") and "| 1 | a |" in markdown({"t": df, "u": "text"})
+    assert "<td>a</td>" in html_report({"t": df}, {})
+    write_json(spark, f"{tmp_path}/d.json", {"a": [1, None]})
+    assert read_json(spark, f"{tmp_path}/d.json") == {"a": [1, None]}
 
 
 def test_synthetic_market_is_the_same_in_any_partitioning(spark):
