@@ -129,6 +129,12 @@ def require_no_same_bar(df: DataFrame, decision: str, execution: str) -> None:
         raise ValueError("execution on the bar of its decision")
 
 
+def require_label_start(df: DataFrame, decision: str, start: str) -> None:
+    """Raises if a label starts on its decision's day or before it; null days are not judged."""
+    if not df.where(F.col(start) <= F.col(decision)).isEmpty():
+        raise ValueError("a label starts before its decision can be executed")
+
+
 def require_sessions(calendar: DataFrame, days: Iterable[date]) -> None:
     wanted = set(days)
     known = {r[0] for r in calendar.where(F.col("session_date").isin(list(wanted))).select("session_date").collect()} if wanted else set()

@@ -6,6 +6,7 @@ sorts its date's rows by its own column. A query that asks for few features prun
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import log as ln
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,29 @@ FAMILIES: dict[str, list[str]] = {
 REGISTERED = [f for names in FAMILIES.values() for f in names]
 
 
+#: Named sets of features: every registered one, all but interactions, and what prices and volumes alone give.
+FEATURE_SETS = {
+    "all": REGISTERED, "no_interactions": [f for n, names in FAMILIES.items() if n != "interactions" for f in names],
+    "technical": [f for n in ("returns", "relative", "volatility", "liquidity", "trend", "xs_rank", "sector_rank") for f in FAMILIES[n]],
+}
+#: Columns that are no features, whatever their names.
+AUXILIARY = ("label_", "source_available_from__", "staleness_days__")
+
+
+def feature_columns(panel: DataFrame, named: str = "all", also: Sequence[str] = ()) -> list[str]:
+    """Columns of ``panel`` that belong to a feature set, in registry order, then those ``also`` asked for that are there and not auxiliary."""
+    own = [f for f in FEATURE_SETS[named] if f in panel.columns]
+    return own + [c for c in also if c in panel.columns and c not in own and not c.startswith(AUXILIARY)]
+
+
+def silver_rows(rows: DataFrame) -> DataFrame:
+    """Market rows with dollar_volume (close x volume where it is null or missing) and the quality flags, true where missing, and a score of one."""
+    own = rows if "dollar_volume" in rows.columns else rows.withColumn("dollar_volume", F.lit(None).cast("double"))
+    out = own.withColumn("dollar_volume", F.coalesce("dollar_volume", F.col("close") * F.col("volume")))
+    defaults = {"is_price_valid": F.lit(True), "is_volume_valid": F.lit(True), "tradable_flag_prelim": F.lit(True), "data_quality_score": F.lit(1.0)}
+    return out.withColumns({c: F.coalesce(c, d) if c in out.columns else d for c, d in defaults.items()})
+
+
 def price_features() -> dict[str, Column]:
     """Features of one security's own rows: date, open, high, low, close, volume, dollar_volume."""
     high, low, close, open_, volume = map(F.col, ("high", "low", "close", "open", "volume"))

@@ -21,7 +21,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     if kind != "json":
         raise ValueError(f"no reader for {path}")
     found = spark.read.option("multiLine", True).json(path)
-    if found.columns == ["records"]:
+    if "records" in found.columns and found.schema["records"].dataType.typeName() == "array":
         found = found.select(F.explode("records").alias("r")).select("r.*")
     return found if schema is None else coerce(found, schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
@@ -68,6 +68,42 @@ def select_rows(df: DataFrame, symbols: Iterable[str], symbol: str, day: str | S
     return rows.drop("symbol_"), wanted.join(rows.select("symbol_"), "symbol_", "left_anti")
 
 
+def local_market(rows: DataFrame, symbols: Iterable[str], start: str, end: str, *, currency: str = "USD", version: str = "local") -> tuple[DataFrame, DataFrame]:
+    """(market rows of the symbols in [start, end], symbols without any). The symbol is provider_symbol, or else symbol, and comes out in upper case; a table
+    without either raises. Missing currencies and payload versions get the defaults."""
+    name = next((c for c in ("provider_symbol", "symbol") if c in rows.columns), None)
+    if name is None:
+        raise ValueError("neither provider_symbol nor symbol")
+    found, missing = select_rows(rows, symbols, name, "trade_date", start, end)
+    out = found.withColumn("provider_symbol", F.upper(F.trim(name)))
+    return out.withColumns({c: F.coalesce(c, F.lit(d)) if c in out.columns else F.lit(d) for c, d in (("currency", currency), ("raw_payload_version", version))}), missing
+
+
+def local_facts(rows: DataFrame, ids: Iterable[str], start: str, end: str, *, unit: str = "USD", statement: str = "unknown") -> tuple[DataFrame, DataFrame]:
+    """(facts of the securities filed in [start, end], securities without any), with defaults for missing units and statement types."""
+    found, missing = select_rows(rows, ids, "security_id", "filing_date", start, end)
+    return found.withColumns({c: F.coalesce(c, F.lit(d)) if c in found.columns else F.lit(d) for c, d in (("metric_unit", unit), ("statement_type", statement))}), missing
+
+
+def local_actions(rows: DataFrame, names: Iterable[str], start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """(corporate actions whose symbol, or else security_id, is among the names and whose effective date, or else event date, lies in [start, end]; names without
+    any)."""
+    name = next((c for c in ("symbol", "security_id") if c in rows.columns), None)
+    if name is None:
+        raise ValueError("neither symbol nor security_id")
+    days = [c for c in ("effective_date", "event_date") if c in rows.columns]
+    return select_rows(rows, names, name, days, start, end)
+
+
+def benchmark_source(kind: str, market: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """A benchmark (trade_date, open, high, low, close) that is ``own`` for a kind other than "proxy", one row a day, or made from the market."""
+    if kind == "proxy":
+        return benchmark_proxy(market)
+    if own is None:
+        raise ValueError(f"no table for a benchmark of kind {kind}")
+    return own.select("trade_date", *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close"))).dropDuplicates(["trade_date"])
+
+
 def select_securities(master: DataFrame, n: int, allowed: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` securities: common stock first, then main exchanges, plain tickers, symbol and id; only ``allowed`` ids, if given."""
     rows = master.where(F.col("security_id").isin(list(allowed))) if allowed else master
@@ -93,3 +129,19 @@ def synthetic_market(spark: SparkSession, calendar: DataFrame, securities: int,
     priced = rows.withColumn("close", F.round(F.greatest(close, F.lit(1.0)), 3)).withColumn("open", F.round(F.col("close") * (0.997 + 0.006 * unit(3)), 3))
     high, low = F.round(F.greatest("open", "close") * (1 + 0.004 * unit(4)), 3), F.round(F.least("open", "close") * (1 - 0.004 * unit(5)), 3)
     return priced.select("security_id", "trade_date", "open", high.alias("high"), low.alias("low"), "close", F.floor(1e5 + 9e5 * unit(6)).alias("volume"))
+
+
+def synthetic_benchmark(calendar: DataFrame) -> DataFrame:
+    """A benchmark with a trend and a cycle over the sessions."""
+    t = F.col("session_no") - 1
+    rows = calendar.select(F.col("session_date").alias("trade_date"), (100 + 0.18 * t + 1.4 * F.sin(t / 10.0)).alias("close"))
+    return rows.select("trade_date", (0.999 * F.col("close")).alias("open"), (1.002 * F.col("close")).alias("high"), (0.997 * F.col("close")).alias("low"), "close")
+
+
+def synthetic_facts(calendar: DataFrame, securities: int, metrics: Sequence[str], *, first: int = 20, every: int = 63) -> DataFrame:
+    """One fact per security and metric at every 63rd session from the 20th, known at 20:00 in New York that day; values grow with the session."""
+    days = calendar.where(f"session_no >= {first} AND (session_no - {first}) % {every} = 0").select("session_no", "session_date")
+    ids = F.explode(F.sequence(F.lit(0), F.lit(max(0, securities - 1)))).alias("i")
+    rows = days.select("session_no", "session_date", ids).where(F.col("i") < securities).select("*", F.posexplode(F.array(*map(F.lit, metrics))).alias("m", "metric_name_raw"))
+    known = F.to_utc_timestamp(F.col("session_date").cast("timestamp") + F.make_dt_interval(hours=F.lit(20)), "America/New_York")
+    return rows.select(F.format_string("SYN_%06d", "i").alias("security_id"), "metric_name_raw", (100.0 + 10 * F.col("i") + F.col("m") + 0.05 * F.col("session_no")).alias("metric_value"), F.col("session_date").alias("filing_date"), known.alias("acceptance_datetime"))

@@ -17,11 +17,12 @@ TRANSIENT = frozenset({408, 409, 425, 429, *range(500, 600)})
 
 @dataclass
 class Page:
-    """One page of a provider's answer."""
+    """One page of a provider's answer, as rows and as it came."""
 
     records: list[dict]
     next_page_token: str | None = None
     missing_symbols: list[str] = field(default_factory=list)
+    original_payload: Any = None
 
 
 class ProviderError(Exception):
@@ -57,6 +58,18 @@ def pages(fetch: Callable[[str | None], Page]) -> Iterator[Page]:
         seen.add(token)
 
 
+def sliced(records: Sequence[dict], token: str | None, size: int) -> Page:
+    """A page of records already at hand: the token is the place to go on from. What providers of made-up data answer with."""
+    start = int(token or 0)
+    part = list(records[start : start + size])
+    return Page(part, str(start + size) if start + size < len(records) else None, original_payload={"records": part})
+
+
+def package(answers: Sequence[Page]) -> dict:
+    """All pages of a request as they came, and the symbols that none of them had: what is kept beside the parsed rows."""
+    return {"pages": [p.records if p.original_payload is None else p.original_payload for p in answers], "missing_symbols": sorted({s for p in answers for s in p.missing_symbols})}
+
+
 def request_key(provider: str, endpoint: str, symbols: Sequence[str], start: str, end: str) -> str:
     """Identity of a request, whatever the order and case of its symbols: the name its results are kept under."""
     parts = [provider, endpoint, *sorted({s.upper() for s in symbols}), start, end]
@@ -85,6 +98,7 @@ class PagedReader(DataSourceReader):
         self.symbols = [s for s in options.get("symbols", "").split(",") if s]
         self.group = int(options.get("symbols_a_task", "50"))
         self.provider = options["provider"]  # module:function(symbols, token) -> Page
+        self.missing = options.get("rows", "records") == "missing"
         self.options = options
 
     def partitions(self) -> Sequence[InputPartition]:
@@ -96,12 +110,16 @@ class PagedReader(DataSourceReader):
         module, _, name = self.provider.partition(":")
         fetch = getattr(importlib.import_module(module), name)
         for page in pages(lambda token: fetch(partition.symbols, token)):
+            if self.missing:
+                yield from ((s,) for s in page.missing_symbols)
+                continue
             for record in page.records:
                 yield tuple(record.get(n) for n in self.names)
 
 
 class PagedSource(DataSource):
-    """spark.read.format("paged").schema(...).option("provider", "module:function").option("symbols", "A,B").load()"""
+    """spark.read.format("paged").schema(...).option("provider", "module:function").option("symbols", "A,B").load(); with option
+    "rows" = "missing" the symbols that the provider does not have, in a schema of one string."""
 
     @classmethod
     def name(cls) -> str:

@@ -29,6 +29,13 @@ def company_facts(payloads: DataFrame, company: str, payload: str) -> DataFrame:
     return out.where("metric_value IS NOT NULL AND filing_date IS NOT NULL")
 
 
+def mapped_facts(facts: DataFrame, companies: DataFrame, start: str, end: str) -> DataFrame:
+    """``company_facts`` filed in [start, end] with the security_id of their company: ``companies`` has source_company_id, in any form, and security_id. Facts of other
+    companies are left out."""
+    ids = companies.select(cik("source_company_id").alias("source_company_id"), "security_id").distinct()
+    return facts.where(F.col("filing_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).join(ids, "source_company_id")
+
+
 def chart_prices(payloads: DataFrame, symbol: str, payload: str) -> DataFrame:
     """Parallel arrays of a price chart as rows by New York day. Rows without all four prices are left out, missing volumes are zero,
     and close stands in for adj_close where the payload has none at all."""

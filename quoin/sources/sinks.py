@@ -60,6 +60,30 @@ def ingest_once(spark: SparkSession, root: str, dataset: str, key: str, fetch: C
     return True
 
 
+def keep_raw(spark: SparkSession, root: str, dataset: str, key: str, payload: dict, **about) -> str:
+    """Writes what a provider sent, unchanged, beside a manifest that says what was asked and what its hash is; a payload that is there already stays. Its path."""
+    path = f"{root}/raw/{dataset}/{key}.json"
+    if not exists(spark, path):
+        write_json(spark, path, payload)
+        text = json.dumps(payload, sort_keys=True, default=str)
+        write_json(spark, f"{root}/raw/{dataset}/manifests/{key}.json", {"dataset": dataset, "key": key, "sha256": hashlib.sha256(text.encode()).hexdigest(), "path": path, **about})
+    return path
+
+
+def cached(spark: SparkSession, root: str, key: str, call: Callable[[], dict]) -> dict:
+    """What ``call`` gives, from the folder where it was kept if it was called before under the same key."""
+    path = f"{root}/responses/{hashlib.sha256(key.encode()).hexdigest()}.json"
+    if not exists(spark, path):
+        write_json(spark, path, call())
+    return read_json(spark, path)
+
+
+def write_schemas(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
+    """The schema of each table as JSON, one file a table."""
+    for name, df in tables.items():
+        write_json(spark, f"{root}/schemas/{name}.json", {"name": name, "fields": json.loads(df.schema.json())["fields"], "hash": schema_hash(df)})
+
+
 def content_hash(df: DataFrame) -> str:
     """Hash of the rows, whatever their order and partitioning: distributed sums of row hashes. Columns go by name."""
     names = sorted(df.columns)

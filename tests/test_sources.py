@@ -4,12 +4,14 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql.types import StructType
 
-from quoin.operators.calendar import calendar_frame
+from quoin.operators.calendar import calendar_frame, require_label_start
+from quoin.operators.features import feature_columns, silver_rows
 from quoin.sources.figures import bars, heat_map, lines
-from quoin.sources.local import coerce, read_table, select_rows, synthetic_market, validate
-from quoin.sources.paged import Page, PagedSource, ProviderError, pages, pick_adapter, request_key, with_retries
-from quoin.sources.payloads import chart_actions, chart_prices, company_facts, csv_prices, listing_master
-from quoin.sources.sinks import content_hash, dataset_id, html_report, ingest_once, markdown, read_json, schema_hash, write_json, write_split
+from quoin.sources.local import benchmark_source, coerce, local_actions, local_facts, local_market, read_table, select_rows, synthetic_benchmark, synthetic_facts, synthetic_market, validate
+from quoin.sources.paged import Page, PagedSource, ProviderError, package, pages, pick_adapter, request_key, sliced, with_retries
+from quoin.sources.payloads import chart_actions, chart_prices, company_facts, csv_prices, listing_master, mapped_facts
+from quoin.sources.sinks import cached, content_hash, dataset_id, html_report, ingest_once, keep_raw, markdown, read_json, schema_hash, write_json, write_schemas, write_split
+from quoin.streaming.ingest import windowed_counts
 
 
 def payload(spark, value):
@@ -111,3 +113,77 @@ def test_synthetic_market_is_the_same_in_any_partitioning(spark):
     assert content_hash(one) == content_hash(two) and one.count() == 5 * cal.count()
     assert one.where("high < greatest(open, close) OR low > least(open, close)").count() == 0
     assert cal.where("session_date = '2024-01-02'").first()["close_utc"] == datetime(2024, 1, 2, 21, 0)
+
+
+def test_local_rows_get_defaults_and_report_what_is_missing(spark):
+    rows = spark.createDataFrame([(" aa", date(2024, 1, 2), None), ("bb", date(2023, 1, 2), "EUR")], "provider_symbol string, trade_date date, currency string")
+    found, missing = local_market(rows, ["AA", "BB"], "2024-01-01", "2024-12-31")
+    assert [tuple(r) for r in found.select("provider_symbol", "currency", "raw_payload_version").collect()] == [("AA", "USD", "local")] and [r[0] for r in missing.collect()] == ["BB"]
+    with pytest.raises(ValueError):
+        local_market(rows.drop("provider_symbol"), ["AA"], "2024-01-01", "2024-12-31")
+    facts, none = local_facts(spark.createDataFrame([("s1", date(2024, 1, 2))], "security_id string, filing_date date"), ["S1", "S2"], "2024-01-01", "2024-12-31")
+    assert facts.first()["metric_unit"] == "USD" and none.count() == 1
+    actions = spark.createDataFrame([("s1", date(2024, 1, 2), None), ("s1", date(2024, 1, 2), date(2025, 1, 2))], "security_id string, event_date date, effective_date date")
+    assert local_actions(actions, ["s1"], "2024-01-01", "2024-12-31")[0].count() == 1
+    market = spark.createDataFrame([(date(2024, 1, 2), 1.0, 2.0, 0.5, 1.5)], "trade_date date, open double, high double, low double, close double")
+    assert benchmark_source("proxy", market).count() == 1 == benchmark_source("file", market, market.unionByName(market)).count()
+    with pytest.raises(ValueError):
+        benchmark_source("file", market)
+
+
+def lacking(symbols, token):
+    return Page([], missing_symbols=[s for s in symbols if s > "B"])
+
+
+def test_raw_answers_are_kept_and_pages_sliced(spark, tmp_path):
+    records = [{"n": i} for i in range(5)]
+    answers = list(pages(lambda t: sliced(records, t, 2)))
+    assert [r["n"] for p in answers for r in p.records] == [0, 1, 2, 3, 4] and len(answers) == 3 and sliced([], None, 2).next_page_token is None
+    answers[0].missing_symbols += ["ZZ", "YY"]
+    kept = package(answers)
+    assert kept["missing_symbols"] == ["YY", "ZZ"] and kept["pages"][0] == {"records": [{"n": 0}, {"n": 1}]}
+    path = keep_raw(spark, str(tmp_path), "d", "k", kept, symbols=["A"])
+    assert read_json(spark, path) == kept and keep_raw(spark, str(tmp_path), "d", "k", {"other": 1}) == path and read_json(spark, path) == kept
+    calls = []
+    assert [cached(spark, str(tmp_path), "u", lambda: calls.append(1) or {"a": 1}) for _ in range(2)] == [{"a": 1}] * 2 and calls == [1]
+    spark.dataSource.register(PagedSource)
+    rows = spark.read.format("paged").schema("symbol string").option("provider", "tests.test_sources:lacking").option("symbols", "A,B,C,D").option("rows", "missing").load()
+    assert sorted(r[0] for r in rows.collect()) == ["C", "D"]
+    write_schemas(spark, str(tmp_path), {"t": spark.createDataFrame([(1,)], "a int")})
+    assert read_json(spark, f"{tmp_path}/schemas/t.json")["fields"][0]["name"] == "a"
+
+
+def test_made_up_tables(spark):
+    cal = calendar_frame(spark, date(2024, 1, 1), date(2024, 12, 31))
+    assert synthetic_benchmark(cal).where("close IS NULL").count() == 0
+    facts = synthetic_facts(cal, 3, ["revenue", "ebit"])
+    assert facts.count() == 3 * 2 * 4 and synthetic_facts(cal, 0, ["revenue"]).count() == 0
+    assert facts.where("filing_date = '2024-01-30'").first()["acceptance_datetime"] == datetime(2024, 1, 31, 1, 0)
+    companies = spark.createDataFrame([("CIK 7", "s7")], "source_company_id string, security_id string")
+    own = spark.createDataFrame([("0000000007", date(2024, 2, 1)), ("0000000007", date(2020, 2, 1)), ("0000000008", date(2024, 2, 1))], "source_company_id string, filing_date date")
+    assert [r["security_id"] for r in mapped_facts(own, companies, "2024-01-01", "2024-12-31").collect()] == ["s7"]
+
+
+def test_silver_defaults_feature_sets_and_label_starts(spark):
+    rows = spark.createDataFrame([(2.0, 3, None, False), (2.0, 3, 7.0, None)], "close double, volume long, dollar_volume double, is_price_valid boolean")
+    assert [tuple(r) for r in silver_rows(rows).select("dollar_volume", "is_price_valid", "data_quality_score").collect()] == [(6.0, False, 1.0), (7.0, True, 1.0)]
+    assert silver_rows(rows.drop("dollar_volume")).first()["dollar_volume"] == 6.0
+    panel = spark.createDataFrame([], "ret_5 double, roe double, rev_1_x_vol_21 double, label_x double, own double")
+    assert feature_columns(panel) == ["ret_5", "roe", "rev_1_x_vol_21"] and feature_columns(panel, "no_interactions") == ["ret_5", "roe"]
+    assert feature_columns(panel, "technical", ["own", "label_x", "gone"]) == ["ret_5", "own"]
+    days = spark.createDataFrame([(date(2024, 1, 1), date(2024, 1, 2))], "d date, s date")
+    require_label_start(days, "d", "s")
+    with pytest.raises(ValueError):
+        require_label_start(days, "s", "d")
+
+
+def test_streamed_windows_count_late_rows_within_the_watermark(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    for i, part in enumerate(([(at(1), "a", 1.0), (at(2), "a", 2.0)], [(at(12), "a", 4.0), (at(3), "a", 8.0)], [(at(50), "a", 0.0)])):
+        spark.createDataFrame(part, "ts timestamp, kind string, value double").coalesce(1).write.parquet(str(tmp_path / f"in/p{i}"))
+    stream = spark.readStream.schema("ts timestamp, kind string, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = windowed_counts(stream, "ts", "30 minutes", "10 minutes", "10 minutes", "kind")
+    query = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r["window"]["start"], r["n"], r["total"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (datetime(2024, 1, 1, 0, 0), 3, 11.0) in got
