@@ -6,7 +6,7 @@ sorts its date's rows by its own column. A query that asks for few features prun
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
 from math import log as ln
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,49 +62,61 @@ def silver_rows(rows: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, d) if c in out.columns else d for c, d in defaults.items()})
 
 
-def price_features() -> dict[str, Column]:
-    """Features of one security's own rows: date, open, high, low, close, volume, dollar_volume."""
-    high, low, close, open_, volume = map(F.col, ("high", "low", "close", "open", "volume"))
-    before = lag("close", 1)
-    out = {f"ret_{k}": div(close, lag("close", k)) - 1 for k in RETURNS}
-    out |= {f"mom_{k}_ex1": div(before, lag("close", k + 1)) - 1 for k in MOMENTA}
-    out |= {f"rev_{k}": -out[f"ret_{k}"] for k in REVERSALS}
-    out["lr"] = log(div(close, before))
-    out["true_range"] = F.greatest(high - low, F.abs(high - before), F.abs(low - before))
-    out["traded"] = close * volume
-    out["dollars"] = F.coalesce("dollar_volume", close * volume)
-    out["log_volume_1"] = F.when(volume.isNotNull(), F.log1p(F.greatest(volume.cast("double"), F.lit(0.0))))
-    out["log_dollar_volume_1"] = F.when(volume.isNotNull(), F.log1p(F.greatest(close * volume, F.lit(0.0))))
+Lazy = dict[str, Callable[[], Column]]
+
+
+def price_features() -> Lazy:
+    """Features of one security's own rows: date, open, high, low, close, volume, dollar_volume. Made when asked for."""
+    high, low, close, volume = (lambda c=c: F.col(c) for c in ("high", "low", "close", "volume"))
+    before = lambda: lag("close", 1)
+    change = lambda k: div("close", lag("close", k)) - 1
+    out: Lazy = {f"ret_{k}": lambda k=k: change(k) for k in RETURNS}
+    out |= {f"mom_{k}_ex1": lambda k=k: div(before(), lag("close", k + 1)) - 1 for k in MOMENTA}
+    out |= {f"rev_{k}": lambda k=k: -change(k) for k in REVERSALS}
+    out["lr"] = lambda: log(div(close(), before()))
+    out["true_range"] = lambda: F.greatest(high() - low(), F.abs(high() - before()), F.abs(low() - before()))
+    out["traded"] = lambda: close() * volume()
+    out["dollars"] = lambda: F.coalesce("dollar_volume", close() * volume())
+    out["log_volume_1"] = lambda: F.when(volume().isNotNull(), F.log1p(F.greatest(volume().cast("double"), F.lit(0.0))))
+    out["log_dollar_volume_1"] = lambda: F.when(volume().isNotNull(), F.log1p(F.greatest(close() * volume(), F.lit(0.0))))
     return out
 
 
-def rolling_features() -> dict[str, Column]:
-    """Rolling windows over price_features."""
-    lr, close = F.col("lr"), F.col("close")
-    down, up = F.when(lr.isNotNull(), F.least(lr, F.lit(0.0))), F.when(lr.isNotNull(), F.greatest(lr, F.lit(0.0)))
-    out = {f"vol_{k}": roll(F.stddev_pop, "lr", k) for k in (5, 10, 21, 63)}
-    out |= {f"{n}_vol_{k}": roll(F.stddev_pop, c, k) for n, c in (("down", down), ("up", up)) for k in (21, 63)}
-    out["hl_range_21"] = roll(F.avg, div(F.col("high") - F.col("low"), close), 21)
-    hl, co = log(div("high", "low")), log(div("close", "open"))
-    out["parkinson_21"] = F.sqrt(roll(F.sum, hl * hl, 21) / (4.0 * 21 * ln(2)))
-    variance = roll(F.sum, 0.5 * hl * hl - (2 * ln(2) - 1) * co * co, 21) / 21.0
-    out["gk_21"] = F.when(variance >= 0, F.sqrt(variance))
-    out["atr_14"] = roll(F.avg, "true_range", 14)
-    out |= {f"adv{k}": roll(F.avg, "dollars", k) for k in (5, 20, 60)}
-    out |= {f"volume_surprise_{k}": div("volume", roll(F.avg, F.col("volume").cast("double"), k, skip=1)) for k in (5, 20)}
-    out["amihud_21"] = roll(F.avg, F.when(F.col("traded") > 0, F.abs("ret_1") / F.col("traded")), 21)
-    out["zero_volume_rate_21"] = roll(F.avg, (F.col("volume") == 0).cast("double"), 21)
-    means = {k: roll(F.avg, "close", k) for k in (20, 50, 100, 200)}
-    out |= {f"px_to_ma{k}": div(close, m) - 1 for k, m in means.items()}
-    out["ma20_to_ma50"], out["ma50_to_ma200"] = div(means[20], means[50]) - 1, div(means[50], means[200]) - 1
+def rolling_features() -> Lazy:
+    """Rolling windows over price_features. Made when asked for."""
+    lr = lambda: F.col("lr")
+    side = {"down": lambda: F.when(lr().isNotNull(), F.least(lr(), F.lit(0.0))), "up": lambda: F.when(lr().isNotNull(), F.greatest(lr(), F.lit(0.0)))}
+    hl, co = lambda: log(div("high", "low")), lambda: log(div("close", "open"))
+    mean = lambda k: roll(F.avg, "close", k)
+    out: Lazy = {f"vol_{k}": lambda k=k: roll(F.stddev_pop, "lr", k) for k in (5, 10, 21, 63)}
+    out |= {f"{n}_vol_{k}": lambda n=n, k=k: roll(F.stddev_pop, side[n](), k) for n in side for k in (21, 63)}
+    out["hl_range_21"] = lambda: roll(F.avg, div(F.col("high") - F.col("low"), "close"), 21)
+    out["parkinson_21"] = lambda: F.sqrt(roll(F.sum, hl() * hl(), 21) / (4.0 * 21 * ln(2)))
+
+    def garman_klass() -> Column:
+        variance = roll(F.sum, 0.5 * hl() * hl() - (2 * ln(2) - 1) * co() * co(), 21) / 21.0
+        return F.when(variance >= 0, F.sqrt(variance))
+
+    out["gk_21"] = garman_klass
+    out["atr_14"] = lambda: roll(F.avg, "true_range", 14)
+    out |= {f"adv{k}": lambda k=k: roll(F.avg, "dollars", k) for k in (5, 20, 60)}
+    out |= {f"volume_surprise_{k}": lambda k=k: div("volume", roll(F.avg, F.col("volume").cast("double"), k, skip=1)) for k in (5, 20)}
+    out["amihud_21"] = lambda: roll(F.avg, F.when(F.col("traded") > 0, F.abs("ret_1") / F.col("traded")), 21)
+    out["zero_volume_rate_21"] = lambda: roll(F.avg, (F.col("volume") == 0).cast("double"), 21)
+    out |= {f"px_to_ma{k}": lambda k=k: div("close", mean(k)) - 1 for k in (20, 50, 100, 200)}
+    out |= {f"ma{a}_to_ma{b}": lambda a=a, b=b: div(mean(a), mean(b)) - 1 for a, b in ((20, 50), (50, 200))}
     for k, name in ((20, "20d"), (YEAR, "52w")):
-        out[f"dist_to_{name}_high"] = div(close, roll(F.max, "high", k)) - 1
-        out[f"dist_to_{name}_low"] = div(close, roll(F.min, "low", k)) - 1
-    out["breakout_20d_up"] = F.coalesce(close > roll(F.max, "high", 20, skip=1), F.lit(False)).cast("long")
-    out["breakout_20d_down"] = F.coalesce(close < roll(F.min, "low", 20, skip=1), F.lit(False)).cast("long")
+        out[f"dist_to_{name}_high"] = lambda k=k: div("close", roll(F.max, "high", k)) - 1
+        out[f"dist_to_{name}_low"] = lambda k=k: div("close", roll(F.min, "low", k)) - 1
+    out["breakout_20d_up"] = lambda: F.coalesce(F.col("close") > roll(F.max, "high", 20, skip=1), F.lit(False)).cast("long")
+    out["breakout_20d_down"] = lambda: F.coalesce(F.col("close") < roll(F.min, "low", 20, skip=1), F.lit(False)).cast("long")
     return out
 
 
+#: What rolling features are made from.
+BASES = ("ret_1", "lr", "true_range", "traded", "dollars")
+
+
 def beta(market_return: str, k: int = 63, least: int = 21) -> Column:
     """Rolling regression slope of ret_1 on the market's return; each moment over its own non-null rows."""
     x, y = col("ret_1"), col(market_return)
@@ -129,14 +141,19 @@ def fundamental_features() -> dict[str, Column]:
     }
 
 
-def with_price_features(market: DataFrame, benchmark: DataFrame) -> DataFrame:
+def with_price_features(market: DataFrame, benchmark: DataFrame, wanted: Collection[str] | None = None) -> DataFrame:
     """``market`` (one row per security and date) with its price and rolling features, bench_ret_k and beta_estimate. The benchmark
-    has one row per date; its lags are over that short series."""
+    has one row per date; its lags are over that short series. ``wanted``: only these, and what they are made from, so that a plan that needs few
+    is a small one."""
+    asked = lambda name: wanted is None or name in wanted
     days = Window.orderBy("trade_date")  # one row a day
     bench = benchmark.select(F.col("trade_date").alias("date"), *((div("close", F.lag("close", k).over(days)) - 1).alias(f"bench_ret_{k}") for k in (1, *RELATIVE)))
-    base = market.withColumns(price_features()).join(bench, "date", "left")
-    staged = base.withColumns(rolling_features() | {"beta_estimate": beta("bench_ret_1")})
-    return staged.withColumns({f"ex_bench_{k}": F.col(f"ret_{k}") - F.col(f"bench_ret_{k}") for k in RELATIVE})
+    needed = {*BASES, *(f"ret_{k}" for k in RELATIVE if asked(f"ex_bench_{k}"))}
+    base = market.withColumns({n: f() for n, f in price_features().items() if asked(n) or n in needed}).join(bench, "date", "left")
+    rolling = {n: f() for n, f in rolling_features().items() if asked(n)} | ({"beta_estimate": beta("bench_ret_1")} if asked("beta_estimate") else {})
+    staged = base.withColumns(rolling) if rolling else base
+    relative = {f"ex_bench_{k}": F.col(f"ret_{k}") - F.col(f"bench_ret_{k}") for k in RELATIVE if asked(f"ex_bench_{k}")}
+    return staged.withColumns(relative) if relative else staged
 
 
 def with_membership(panel: DataFrame, universe: DataFrame) -> DataFrame:

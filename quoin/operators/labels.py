@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,17 +12,21 @@ from quoin.functions.expr import by_date, div, lag, pct_rank, quantile_bucket
 HORIZONS = (1, 5, 10, 20)
 
 
-def residual(panel: DataFrame, y: str, beta: str, out: str) -> DataFrame:
-    """``out``: the residual of a per-date least-squares fit of ``y`` on a constant, beta (null as 0) and sector dummies (null a sector of its
-    own), in closed form: both are demeaned within date and sector, then one slope per date. A date of one value keeps y."""
-    ok = F.col(y).isNotNull()
-    x = F.when(ok, F.coalesce(beta, F.lit(0.0)))
+def residuals(panel: DataFrame, beta: str, names: Mapping[str, str]) -> DataFrame:
+    """``names``: label -> result. Each is the residual of a per-date least-squares fit of the label on a constant, beta (null as 0) and sector dummies (null a
+    sector of its own), in closed form: both are demeaned within date and sector, then one slope per date. A date of one value keeps the label.
+    All labels share two windows."""
     group, day = Window.partitionBy("date", "sector"), Window.partitionBy("date")
-    staged = panel.withColumns({"y_": F.col(y) - F.avg(y).over(group), "x_": x - F.avg(x).over(group), "n_": F.count(y).over(day)})
-    xx = F.sum(F.col("x_") * F.col("x_")).over(day)
-    slope = F.when(xx > 1e-18, F.sum(F.col("x_") * F.col("y_")).over(day) / xx).otherwise(0.0)
-    value = F.when(F.col("n_") < 2, F.col(y)).otherwise(F.col("y_") - slope * F.col("x_"))
-    return staged.withColumn(out, F.when(ok, value)).drop("y_", "x_", "n_")
+    centred, out = {}, {}
+    for i, (y, name) in enumerate(names.items()):
+        ok = F.col(y).isNotNull()
+        x = F.when(ok, F.coalesce(beta, F.lit(0.0)))
+        centred |= {f"y{i}_": F.col(y) - F.avg(y).over(group), f"x{i}_": x - F.avg(x).over(group)}
+        xx, xy = F.sum(F.col(f"x{i}_") * F.col(f"x{i}_")).over(day), F.sum(F.col(f"x{i}_") * F.col(f"y{i}_")).over(day)
+        slope = F.when(xx > 1e-18, xy / xx).otherwise(0.0)
+        value = F.when(F.count(y).over(day) < 2, F.col(y)).otherwise(F.col(f"y{i}_") - slope * F.col(f"x{i}_"))
+        out[name] = F.when(ok, value)
+    return panel.withColumns(centred).withColumns(out).drop(*centred)
 
 
 def forward_labels(panel: DataFrame, benchmark: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
@@ -32,9 +36,7 @@ def forward_labels(panel: DataFrame, benchmark: DataFrame, horizons: Sequence[in
     bench = benchmark.select(F.col("trade_date").alias("date"), *((div(F.lead("open", h + 1).over(days), F.lead("open", 1).over(days)) - 1).alias(f"b_{h}") for h in horizons))
     out = panel.withColumns({f"label_raw_{h}d_oo": div(lag("open", -(h + 1)), lag("open", -1)) - 1 for h in horizons}).join(bench, "date", "left")
     out = out.withColumns({f"label_excess_{h}d_oo": F.col(f"label_raw_{h}d_oo") - F.col(f"b_{h}") for h in horizons}).drop(*(f"b_{h}" for h in horizons))
-    out = by_date(out)
-    for h in horizons:
-        out = residual(out, f"label_excess_{h}d_oo", "beta_estimate", f"label_resid_{h}d_oo")
+    out = residuals(by_date(out), "beta_estimate", {f"label_excess_{h}d_oo": f"label_resid_{h}d_oo" for h in horizons})
     ranks = {h: pct_rank(f"label_excess_{h}d_oo", "date") for h in horizons}
     out = out.withColumns({f"label_binary_top_bottom_{h}d": F.when(r >= 0.9, 1).when(r <= 0.1, 0) for h, r in ranks.items()})
     return out.withColumns({f"label_multiclass_quantile_{h}d": quantile_bucket(f"label_excess_{h}d_oo", 5, "date") for h in horizons})

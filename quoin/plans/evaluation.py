@@ -22,11 +22,12 @@ SPEC = WalkForward(train=12, valid=2, test=1, step=1, embargo=8)
 LINEAR = ["mom_21_ex1", "rev_1"]
 WIDE = ["mom_21_ex1", "rev_1", "vol_21", "ret_5", "px_to_ma20", "hl_range_21"]
 LABEL = "label_excess_5d_oo"
+USED = {*LINEAR, *WIDE, "beta_estimate"}
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features and labels of every market row."""
-    return forward_labels(feature_base(spark, sf_dir), benchmark(spark, sf_dir))
+    """Labels of every market row, with the features that scores and models here use."""
+    return forward_labels(feature_base(spark, sf_dir, USED), benchmark(spark, sf_dir))
 
 
 def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ridge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ridge on two features, fitted on the training rows and applied to all."""
     model = ridge(gram(_train(spark, sf_dir), LINEAR, LABEL), 1.0)
-    return _day(feature_base(spark, sf_dir).select("security_id", "date", grid(model.predict()).alias("score")))
+    return _day(feature_base(spark, sf_dir, USED).select("security_id", "date", grid(model.predict()).alias("score")))
 
 
 def linear_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted stumps of the operator's 50 rounds, fitted on the training rows and applied to all."""
     train = _train(spark, sf_dir).select(*WIDE, LABEL)
     model = BoostedStumps().fit(train, WIDE, LABEL)
-    return _day(feature_base(spark, sf_dir).select("security_id", "date", model.predict().alias("score")))
+    return _day(feature_base(spark, sf_dir, USED).select("security_id", "date", model.predict().alias("score")))
 
 
 def oof_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,7 @@ def oof_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # selection
 def score_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longs and shorts of each date: the top and bottom tenth by momentum, ties by security; ranks and quintiles beside."""
-    rows = feature_base(spark, sf_dir).where("mom_21_ex1 IS NOT NULL").select("security_id", "date", "mom_21_ex1")
+    rows = feature_base(spark, sf_dir, USED).where("mom_21_ex1 IS NOT NULL").select("security_id", "date", "mom_21_ex1")
     day, k = Window.partitionBy("date"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("date")) * 0.1)
     up = F.row_number().over(day.orderBy(F.desc("mom_21_ex1"), "security_id"))
     down = F.row_number().over(day.orderBy("mom_21_ex1", "security_id"))
@@ -172,7 +173,7 @@ def ic_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores in long form, pivoted to one column a model."""
-    long = unpivoted(feature_base(spark, sf_dir), ("mom_21_ex1", "rev_1", "ret_5"), ["date", "security_id"], "model_name", "raw_prediction")
+    long = unpivoted(feature_base(spark, sf_dir, USED), ("mom_21_ex1", "rev_1", "ret_5"), ["date", "security_id"], "model_name", "raw_prediction")
     out = wide_predictions(long, ("mom_21_ex1", "rev_1", "ret_5"))
     return _day(out.select("date", "security_id", *(grid(c).alias(c) for c in ("mom_21_ex1", "rev_1", "ret_5"))))
 
@@ -201,7 +202,7 @@ def aum_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feature_base(spark, sf_dir)
+    rows = feature_base(spark, sf_dir, USED)
     cells = F.array(*(F.struct(F.lit(m).alias("model_name"), F.col(m).alias("raw_prediction")) for m in ("mom_21_ex1", "rev_1", "ret_5")))
     long = rows.select("date", "security_id", F.explode(cells).alias("c")).select("date", "security_id", "c.*")
     out = correlation_matrix(long)
@@ -252,7 +253,7 @@ def universe_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of rows with a momentum score by sector and month."""
-    rows = feature_base(spark, sf_dir)
+    rows = feature_base(spark, sf_dir, USED)
     out = rows.groupBy("sector", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("mom_21_ex1").alias("present"), F.count(F.lit(1)).alias("rows"))
     return out.withColumn("coverage", grid(F.col("present") / F.col("rows")))
 

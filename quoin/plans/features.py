@@ -18,9 +18,13 @@ from quoin.session import table
 FLAGS = ("breakout_20d_up", "breakout_20d_down", "days_since_last_filing", *FAMILIES["staleness"])
 
 
-def _ranked(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rows`` with price features, sector and cross-sections."""
-    panel = with_price_features(rows, benchmark(spark, sf_dir)).join(sectors(spark, sf_dir), "security_id", "left")
+#: Price features that cross-sections rank.
+CROSSED = {*RANKED, *SECTOR_RANKED, *(f"ret_{k}" for k in RELATIVE), "adv20"}
+
+
+def _ranked(rows: DataFrame, spark: SparkSession, sf_dir: str, wanted: set[str] | None = None) -> DataFrame:
+    """``rows`` with price features (the ``wanted`` ones), sector and cross-sections."""
+    panel = with_price_features(rows, benchmark(spark, sf_dir), wanted).join(sectors(spark, sf_dir), "security_id", "left")
     return with_ranks(with_membership(panel, table(spark, sf_dir, "universe_snapshot").select("date", "security_id", "is_in_universe")))
 
 
@@ -60,12 +64,12 @@ def _out(panel: DataFrame, names: list[str]) -> DataFrame:
 
 def _price_family(name: str):
     names = [c for c in FAMILIES[name] if c not in ("turnover_proxy_21", "liquidity_rank_20") and not c.startswith("ex_sector")]
-    return lambda spark, sf_dir: _out(with_price_features(market(spark, sf_dir), benchmark(spark, sf_dir)), names)
+    return lambda spark, sf_dir: _out(with_price_features(market(spark, sf_dir), benchmark(spark, sf_dir), names), names)
 
 
 def feat_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks by date and by date and sector, and sector-relative returns."""
-    return _out(_ranked(market(spark, sf_dir), spark, sf_dir), SECTIONS)
+    return _out(_ranked(market(spark, sf_dir), spark, sf_dir, CROSSED), SECTIONS)
 
 
 def feat_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +82,7 @@ def feat_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feat_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(with_price_features(market(spark, sf_dir), benchmark(spark, sf_dir)), ["beta_estimate", *(f"bench_ret_{k}" for k in RELATIVE)])
+    return _out(with_price_features(market(spark, sf_dir), benchmark(spark, sf_dir), {"beta_estimate"}), ["beta_estimate", *(f"bench_ret_{k}" for k in RELATIVE)])
 
 
 SECTIONS = [*FAMILIES["xs_rank"], *FAMILIES["sector_rank"], "liquidity_rank_20", *(f"ex_sector_{k}" for k in RELATIVE)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,13 @@ CLASSES = [f"label_{k}_{h}d" for k in ("binary_top_bottom", "multiclass_quantile
 TRAIN_END = "2022-07-01"
 
 
-def feature_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_price_features(market(spark, sf_dir), benchmark(spark, sf_dir)).join(sectors(spark, sf_dir), "security_id", "left")
+def feature_base(spark: SparkSession, sf_dir: str, wanted: Collection[str] | None = None) -> DataFrame:
+    """Market rows with price features, or the ``wanted`` ones, and the last sector."""
+    return with_price_features(market(spark, sf_dir), benchmark(spark, sf_dir), wanted).join(sectors(spark, sf_dir), "security_id", "left")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = feature_base(spark, sf_dir).select("security_id", "date", "open", "sector", "beta_estimate")
+    base = feature_base(spark, sf_dir, {"beta_estimate"}).select("security_id", "date", "open", "sector", "beta_estimate")
     return forward_labels(base, benchmark(spark, sf_dir))
 
 
@@ -53,7 +56,7 @@ def gold_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prepared(op):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        base = by_date(feature_base(spark, sf_dir).select("security_id", "date", "sector", "beta_estimate", "ret_5"))
+        base = by_date(feature_base(spark, sf_dir, {"beta_estimate", "ret_5"}).select("security_id", "date", "sector", "beta_estimate", "ret_5"))
         return _day(op(base).select("security_id", "date", grid("x").alias("x")))
 
     return query

@@ -16,7 +16,7 @@ from quoin.session import table
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_short(feature_base(spark, sf_dir).select("date", "security_id", "mom_21_ex1", "beta_estimate", "sector"), "mom_21_ex1", 0.2)
+    return long_short(feature_base(spark, sf_dir, USED).select("date", "security_id", "mom_21_ex1", "beta_estimate", "sector"), "mom_21_ex1", 0.2)
 
 
 def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = forward_labels(feature_base(spark, sf_dir), benchmark(spark, sf_dir), (1,))
+    rows = forward_labels(feature_base(spark, sf_dir, USED), benchmark(spark, sf_dir), (1,))
     sides = long_short(rows, "mom_21_ex1", 0.2).where("side <> 0")
     weight = F.col("side") * 0.5 / F.ceil(F.count(F.lit(1)).over(_day()) / 2)
     return sides.select("date", "security_id", weight.alias("weight"), F.col("label_raw_1d_oo").alias("day_return"), F.col("adv20").alias("capacity"))
@@ -67,7 +67,7 @@ def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def portfolio_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum predictions with liquidity bucket and average volume, from the universe's row or else from the panel's."""
-    preds = feature_base(spark, sf_dir).where("mom_21_ex1 IS NOT NULL").select("date", "security_id", F.lit("momentum").alias("model_name"), F.col("mom_21_ex1").alias("raw_prediction"))
+    preds = feature_base(spark, sf_dir, USED).where("mom_21_ex1 IS NOT NULL").select("date", "security_id", F.lit("momentum").alias("model_name"), F.col("mom_21_ex1").alias("raw_prediction"))
     one = lambda name, *columns: table(spark, sf_dir, name).groupBy("date", "security_id").agg(*(F.max(c).alias(n) for c, n in columns))
     universe = one("universe_snapshot", ("adv20_usd_t", "adv20_usd_t"), ("liquidity_bucket", "liquidity_bucket"))
     panel = one("feature_panel", ("adv20", "adv20_usd_t"), ("liquidity_bucket", "liquidity_bucket"), ("sector", "sector"))
@@ -90,13 +90,15 @@ def table_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Features that portfolios here use.
+USED = {"mom_21_ex1", "beta_estimate", "adv20"}
 COSTS = (0.0, 0.0005, 0.001, 0.002)
 PROFILED = ("security_master", "silver_market", "silver_fundamentals", "universe_snapshot")
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill ratios and square-root impact of equal trades of every row against its average volume."""
-    rows = feature_base(spark, sf_dir).select("security_id", "date", F.lit(0.02).alias("trade"), F.lit(1e10).alias("aum"), "adv20")
+    rows = feature_base(spark, sf_dir, USED).select("security_id", "date", F.lit(0.02).alias("trade"), F.lit(1e10).alias("aum"), "adv20")
     ratio = fill_ratio("trade", "aum", "adv20", 0.1)
     part = F.try_divide(F.col("trade") * F.col("aum") * ratio, "adv20")
     return rows.select("security_id", F.date_format("date", "yyyy-MM-dd").alias("date"), grid(ratio).alias("fill_ratio"), grid(impact(part, 1.0, 10.0)).alias("impact"))
